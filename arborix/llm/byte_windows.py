@@ -1,0 +1,16 @@
+"""Bounded samples of labelled rows, shared by the trained operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def remainder(doc_id: str, modulus: int) -> Column:
+    """crc32 of the id as text, modulo; a null id counts as the text ''."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def bounded(df: DataFrame, most: int, *key: str) -> list:
+    """At most `most` rows, chosen by the hash of the key; the same ones each time."""
+    return df.orderBy(F.xxhash64(*key), *key).limit(most).collect()
