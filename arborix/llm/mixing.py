@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import table, tokens
 
-STEPS = 60
+STEPS, SALTS = 60, 64
 
 
 def weights(totals: DataFrame, max_repeat: float | None = 2.0, min_entropy: float | None = None) -> DataFrame:
@@ -66,7 +66,9 @@ def mix(docs: DataFrame, carry: list[str], max_repeat: float | None = 2.0, min_e
         F.floor(F.col("n_tokens") * (F.col("repeat") - F.floor("repeat"))).cast("long").alias("__rest"),
         F.ceil(F.sqrt("n_rows")).cast("long").alias("__blocks"),
     )
-    taken = rows.join(plan, "__source").withColumn("__epoch", F.explode(F.expr("sequence(0, if(__rest > 0, __full, __full - 1))")))
+    # where the plan is too large to broadcast, a source with many rows meets it in SALTS places
+    salted = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    taken = rows.withColumn("__salt", F.pmod("__key", F.lit(SALTS)).cast("int")).join(salted, ["__source", "__salt"]).withColumn("__epoch", F.explode(F.expr("sequence(0, if(__rest > 0, __full, __full - 1))")))
     taken = taken.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed), "__epoch", "__key"), F.col("__blocks")))
     of = ["__source", "__epoch", "__block"]
     cum = W.partitionBy("__source", "__epoch").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
