@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .byte_windows import bounded, remainder
+from .samples import bounded, remainder
 from .common import table
 
 LENGTH, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 12, 6

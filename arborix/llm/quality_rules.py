@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, tokens
+from .samples import sampled
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 WINDOW = 5
@@ -153,14 +154,14 @@ def learn(rows: list[dict], precision: float = 0.9, most_conditions: int = 3, le
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> list[dict]:
-    """Statistics of at most max_labelled labelled rows that pass the base rule, chosen by the hash of their id."""
+    """Statistics of at most max_labelled labelled rows that pass the base rule; ids are chosen by their hash."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # at most max_labelled rows of 12 bytes: bounded, so it may be broadcast
+    chosen = sampled(known, max_labelled, "doc_id")  # at most max_labelled rows of 12 bytes: bounded, so it may be broadcast
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     stats = statistics(some, ["doc_id", "__quality"])
     got = stats.select("doc_id", (1 - F.col("__quality")).alias("bad"), *FEATURES, base_failed().alias("failed")).collect()
     rows = [r.asDict() for r in got if not r.failed]
-    return sorted(rows, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 & (2**64 - 1), *(r[f] for f in FEATURES)))[:max_labelled]
+    return sorted(rows, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 & (2**64 - 1), *(r[f] for f in FEATURES)))
 
 
 def expression(rules: list[Rule]) -> Column:
