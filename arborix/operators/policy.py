@@ -1,0 +1,97 @@
+"""Trust policy over many subjects at once: every rule gives rows of findings, and a report sums them up."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Identity:
+    """A trusted signer: by key id, or by issuer with an exact subject or a pattern (neither: any subject)."""
+
+    key_id: str | None = None
+    issuer: str | None = None
+    subject: str | None = None
+    subject_pattern: str | None = None
+
+    def matches(self) -> Column:
+        if self.key_id:
+            return F.lower("key_id") == self.key_id.lower()
+        by = F.col("issuer") == self.issuer
+        if self.subject_pattern:
+            return by & F.col("subject").rlike(rf"\A(?:{self.subject_pattern})\z")
+        return by & (F.col("subject") == self.subject) if self.subject else by
+
+
+@dataclass(frozen=True)
+class Policy:
+    identities: list[Identity] = field(default_factory=list)
+    threshold: int = 0
+    provenance_required: bool = False
+    max_age_seconds: int | None = None
+    allowed_hosts: list[str] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        if self.threshold < 0 or (self.identities and self.threshold > len(self.identities)) or (self.threshold and not self.identities):
+            raise ValueError("threshold must lie between 0 and the number of identities")
+        for i in self.identities:
+            if bool(i.key_id) == bool(i.issuer) or (i.subject and i.subject_pattern):
+                raise ValueError("an identity has a key id or an issuer, and a subject or a pattern")
+
+    @property
+    def effective_threshold(self) -> int:
+        return self.threshold or int(self.provenance_required)
+
+
+def rule_index(identities: list[Identity]) -> Column:
+    """The first rule that an item's identity fits, else null."""
+    out = F.lit(None).cast("int")
+    for i, rule in reversed(list(enumerate(identities))):
+        out = F.when(rule.matches(), F.lit(i)).otherwise(out)
+    return out
+
+
+def signature_counts(subjects: DataFrame, evidence: DataFrame, policy: Policy) -> DataFrame:
+    """(subject_digest, accepted, ok): distinct trusted identities, by rule where rules are listed."""
+    rule = rule_index(policy.identities).cast("string") if policy.identities else F.coalesce(F.lower("key_id"), F.concat_ws("|", "issuer", "subject"))
+    counted = evidence.withColumn("rule", rule).groupBy("subject_digest").agg(F.countDistinct("rule").alias("accepted"))
+    out = subjects.select("subject_digest").join(counted, "subject_digest", "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)))
+    return out.withColumn("ok", F.col("accepted") >= policy.effective_threshold)
+
+
+def stale(evidence: DataFrame, evaluated_at: Column, max_age_seconds: int) -> DataFrame:
+    """Items without a signing time, or older than allowed."""
+    age = F.unix_micros(evaluated_at) - F.unix_micros(F.col("signed_at").cast("timestamp"))
+    return evidence.where(F.col("signed_at").isNull() | (age > max_age_seconds * 1_000_000))
+
+
+def authority(url: Column) -> Column:
+    """Host with port, without user information; null where the url has none."""
+    host = F.regexp_replace(F.regexp_extract(url, r"\A[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), r"\A.*@", "")
+    return F.when(host != "", host)
+
+
+def findings_of(policy: Policy, subjects: DataFrame, evidence: DataFrame, evaluated_at: Column) -> DataFrame:
+    """(subject_digest, rule, severity) of every failed rule."""
+    row = lambda df, rule: df.select("subject_digest", F.lit(rule).alias("rule"), F.lit("error").alias("severity"))
+    parts = [row(signature_counts(subjects, evidence, policy).where(~F.col("ok")), "signature-threshold")]
+    trusted = evidence.where(rule_index(policy.identities).isNotNull()) if policy.identities else evidence
+    if policy.max_age_seconds is not None:
+        parts.append(row(stale(trusted, evaluated_at, policy.max_age_seconds), "freshness"))
+    if policy.provenance_required:
+        parts.append(row(subjects.join(trusted, "subject_digest", "left_anti"), "provenance-missing"))
+    if policy.allowed_hosts:
+        host = authority(F.col("source_url"))
+        parts.append(row(trusted.where(host.isNull() | ~host.isin(policy.allowed_hosts)), "source-host"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def report(policy: Policy, subjects: DataFrame, evidence: DataFrame, evaluated_at: Column) -> DataFrame:
+    """(subject_digest, errors, trust): pass without errors, else fail."""
+    errors = findings_of(policy, subjects, evidence, evaluated_at).groupBy("subject_digest").agg(F.count("*").alias("errors"))
+    out = subjects.select("subject_digest").join(errors, "subject_digest", "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
+    return out.withColumn("trust", F.when(F.col("errors") == 0, "pass").otherwise("fail"))
