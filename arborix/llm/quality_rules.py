@@ -41,20 +41,20 @@ class Rule(NamedTuple):
     good: int
 
 
-def _permille(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.floor(1000 * part / whole)).otherwise(0).cast("long")
+def _permille(part: str, whole: str) -> str:
+    return f"if({whole} > 0, {part} * 1000 div {whole}, 0L)"
 
 
 #: What rules may test: integers computed from the statistics.
 FEATURES = {
-    "symbols_permille": _permille(F.col("n_symbols"), F.col("word_chars")),
-    "capitals_permille": _permille(F.col("__upper"), F.col("word_chars")),
-    "exclaim_permille": _permille(F.col("__bang"), F.col("word_chars")),
-    "dup_lines_permille": _permille(F.col("n_dup_lines"), F.col("__lines")),
-    "repeat_permille": _permille(F.col("n_repeat_words"), F.col("n_words")),
-    "distinct_permille": _permille(F.col("__distinct"), F.col("n_words")),
-    "word_length_permille": _permille(F.col("word_chars"), F.col("n_words")),
-    "n_words": F.col("n_words"),
+    "symbols_permille": _permille("n_symbols", "word_chars"),
+    "capitals_permille": _permille("__upper", "word_chars"),
+    "exclaim_permille": _permille("__bang", "word_chars"),
+    "dup_lines_permille": _permille("n_dup_lines", "__lines"),
+    "repeat_permille": _permille("n_repeat_words", "n_words"),
+    "distinct_permille": _permille("__distinct", "n_words"),
+    "word_length_permille": _permille("word_chars", "n_words"),
+    "n_words": "n_words",
 }
 
 
@@ -95,7 +95,7 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     t = t.withColumn("n_repeat_words", F.expr(REPEATED))
     # a filter above would else be pushed below and compute its statistics anew for each condition
     t = t.withColumn("__barrier", F.monotonically_increasing_id())
-    return t.select(*keep, *BASE, *(c.alias(n) for n, c in FEATURES.items() if n != "n_words"), "__barrier")
+    return t.select(*keep, *BASE, *(F.expr(c).alias(n) for n, c in FEATURES.items() if n != "n_words"), "__barrier")
 
 
 def base_failed() -> Column:
@@ -107,7 +107,7 @@ def _covers(conditions: tuple[Condition, ...], row: dict) -> bool:
 
 
 def _best_condition(rows: list[dict]) -> Condition | None:
-    """The condition with the most information gain, by one sweep over each feature's sorted values."""
+    """The condition with the most information gain, by one sweep over each feature's sorted values; bounds lie midway between two."""
     bad = sum(r["bad"] for r in rows)
     before, best, found = math.log2(bad / len(rows)), 1e-9, None
     for feature in FEATURES:
@@ -120,7 +120,7 @@ def _best_condition(rows: list[dict]) -> Condition | None:
                 if follower is None or follower[feature] == row[feature] or not p:
                     continue
                 if (gain := p * (math.log2(p / n) - before)) > best:
-                    best, found = gain, Condition(feature, at_least, row[feature])
+                    best, found = gain, Condition(feature, at_least, (row[feature] + follower[feature] + at_least) // 2)
     return found
 
 

@@ -80,7 +80,7 @@ def trie_links(values: np.ndarray, roots: list[np.ndarray], budget: int) -> Iter
         leaf = ((hi - lo) * (bhi - blo) <= LEAF_PAIRS) | (level == 64)
         if leaf.any():
             i, j = _expand(lo[leaf], hi[leaf], blo[leaf], bhi[leaf])
-            near = (i != j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
+            near = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
             yield i[near], j[near]
             lo, hi, blo, bhi, err = (x[~leaf] for x in arrays)
         if len(lo) == 0:
