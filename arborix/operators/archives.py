@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions import digests, paths
 
 BLOCK, NAME_BYTES, PART_BYTES, PULL = 512, 100, 4 << 20, 1 << 18
 DIRECTORY_MODE = 0o755
-ENTRIES = "bundle_id string, entry_no long, name string, kind string, mode int, size long, digest string"
-CONTENTS = "bundle_id string, path string, content binary"
+BATCH_ROWS = 1024
+ENTRIES = pa.schema([("bundle_id", pa.string()), ("entry_no", pa.int64()), ("name", pa.string()), ("kind", pa.string()), ("mode", pa.int32()), ("size", pa.int64()), ("digest", pa.string())])
+CONTENTS = pa.schema([("bundle_id", pa.string()), ("path", pa.string()), ("content", pa.binary())])
 
 
 class ArchiveFault(ValueError):
@@ -236,21 +238,38 @@ def read_entries(member: _Member, contents: bool) -> Iterator[Entry]:
     member.finish()
 
 
-def _reading(parts: DataFrame, contents: bool, max_expanded: int, emit: Callable, schema: str) -> DataFrame:
+def _reading(parts: DataFrame, contents: bool, max_expanded: int, emit: Callable, schema: pa.Schema) -> DataFrame:
+    """Rows that emit makes of each entry, sent on in batches of bounded rows and bytes."""
     ordered = parts.select("bundle_id", "part", "data").repartition("bundle_id").sortWithinPartitions("bundle_id", "part")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for bundle, rows in groupby(_rows(batches), itemgetter(0)):
             member = _Member((r[2] or b"" for r in rows), max_expanded)
             no = 0
             try:
-                for no, entry in enumerate(read_entries(member, contents), 1):  # noqa: B007
-                    yield from emit(bundle, no - 1, *entry)
+                for entry in read_entries(member, contents):
+                    yield from emit(bundle, no, *entry)
+                    no += 1
                 yield from emit(bundle, no, "", "layer", 0, member.packed, "sha256:" + member.sha.hexdigest(), None)
             except ArchiveFault as e:
                 yield from emit(bundle, no, f"{e.code}: {e}", "fault", 0, 0, None, None)
 
-    return ordered.mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in emitted(batches):
+            held.append(row)
+            size += len(row[-1] or b"") if contents else 0
+            if len(held) == BATCH_ROWS or size >= PART_BYTES:
+                yield _batch(held, schema)
+                held, size = [], 0
+        if held:
+            yield _batch(held, schema)
+
+    return ordered.mapInArrow(run, from_arrow_schema(schema))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def entries(parts: DataFrame, max_expanded: int = 8 << 30) -> DataFrame:
@@ -259,9 +278,8 @@ def entries(parts: DataFrame, max_expanded: int = 8 << 30) -> DataFrame:
     One more row a bundle: kind layer, with the packed size and its digest; or kind fault, with 'code: message' for a name.
     """
 
-    def emit(bundle, no, name, kind, mode, size, digest, _content):
-        values = zip((bundle, no, name, kind, mode, size, digest), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], names=["bundle_id", "entry_no", "name", "kind", "mode", "size", "digest"])
+    def emit(*values: object) -> Iterator[tuple]:
+        yield values[:-1]
 
     return _reading(parts, False, max_expanded, emit, ENTRIES)
 
@@ -269,9 +287,9 @@ def entries(parts: DataFrame, max_expanded: int = 8 << 30) -> DataFrame:
 def contents(parts: DataFrame, max_expanded: int = 8 << 30) -> DataFrame:
     """(bundle_id, path, content) of every file entry that can be read."""
 
-    def emit(bundle, _no, name, kind, _mode, _size, _digest, content):
+    def emit(bundle: str, _no: int, name: str, kind: str, *rest: object) -> Iterator[tuple]:
         if kind == "file":
-            yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.string()), pa.array([name], pa.string()), pa.array([content], pa.binary())], names=["bundle_id", "path", "content"])
+            yield bundle, name, rest[-1]
 
     return _reading(parts, True, max_expanded, emit, CONTENTS)
 
