@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_knn": quality_knn.op10_quality_knn,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substring_dedup.oracle(), "op2_url_filter": url_filter.oracle(), "op3_shard": sharding.oracle()}

@@ -20,18 +20,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table, written
-from .textkernel import mix
+from .textkernel import MIX, mix
 
 ROUNDS = 6
 
 
+def _round_key(seed: int, r: int) -> int:
+    return (seed * 0x9E3779B97F4A7C15 + (r + 1) * 0xD1B54A32D192ED03) & (2**64 - 1)
+
+
 def feistel(x: np.ndarray, half_bits: int, seed: int) -> np.ndarray:
     """A keyed bijection of the numbers below 2 ** (2 * half_bits)."""
     mask, half = np.uint64((1 << half_bits) - 1), np.uint64(half_bits)
     left, right = x >> half, x & mask
     for r in range(ROUNDS):
-        key = np.uint64((seed * 0x9E3779B97F4A7C15 + (r + 1) * 0xD1B54A32D192ED03) & (2**64 - 1))
-        left, right = right, left ^ (mix(right + key) & mask)
+        left, right = right, left ^ (mix(right + np.uint64(_round_key(seed, r))) & mask)
     return (left << half) | right
 
 
@@ -101,3 +104,32 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_rows(table(spark, sf_dir, "documents"))
     law = [F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")]
     return placed.select("doc_id", "size", "text_crc32", *law)
+
+
+def oracle(shards: int = 16, seed: int = 7) -> str:
+    """The query in DuckDB's SQL: the same network in 128-bit numbers, the walk as a recursion, the checksum byte by byte."""
+    low = lambda x: f"({x} & {2**64 - 1}::uhugeint)"
+
+    def mixed(x: str) -> str:
+        for shift, factor in ((32, MIX[0]), (29, MIX[1]), (32, None)):
+            x = f"[xor(z, z >> {shift}) for z in [{x}]][1]"
+            x = low(f"({x} * {factor}::uhugeint)") if factor else x
+        return x
+
+    # a number of 2 * half bits: (left << half) | right
+    x = "x"
+    for r in range(ROUNDS):
+        turned = mixed(low(f"((s & mask) + {_round_key(seed, r)}::uhugeint)"))
+        x = f"[((s & mask) << half) | xor(s >> half, {turned} & mask) for s in [{x}]][1]"
+    bit = "select i, 0 as step, i::ubigint as c from range(256) t(i) union all select i, step + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end from table_bits where step < 8"
+    steps = [
+        f"recursive table_bits as ({bit})",
+        "crc_table as (select list(c order by i) as crcs from table_bits where step = 8)",
+        "texts as (select doc_id, coalesce(text, '') as t, row_number() over (order by doc_id nulls first) - 1 as r from documents)",
+        "sums as (select r, xor(list_reduce([('0x' || h)::ubigint for h in regexp_extract_all(hex(encode(t)), '..')], lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255)::bigint + 1]), 4294967295::ubigint), 4294967295::ubigint)::bigint as text_crc32 from texts, crc_table)",
+        "bits as (select greatest(1, (length(bin(greatest(count(*) - 1, 1))) + 1) // 2)::uhugeint as h, count(*)::uhugeint as n from documents)",
+        "net as (select h as half, (1::uhugeint << h) - 1::uhugeint as mask, n from bits)",
+        f"walk as (select r, half, mask, n, {x} as x from (select r, r::uhugeint as x, half, mask, n from texts, net) union all select r, half, mask, n, {x} from walk where x >= n)",
+        f"placed as (select r, (x % {shards}::uhugeint)::int as shard, (x // {shards}::uhugeint)::bigint as slot from walk where x < n)",
+    ]
+    return "with " + ", ".join(steps) + " select doc_id, octet_length(encode(t))::bigint + 1 as size, text_crc32, 'rows' as law, shard, slot, null::int as grown_shard from texts join sums using (r) join placed using (r)"

@@ -293,3 +293,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed and digest of the words kept, for every document."""
     out = dedup_substrings(table(spark, sf_dir, "documents"), 20, file_chunks())
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def oracle(k: int = 20) -> str:
+    """The query in DuckDB's SQL: every window's word sequence in whole, grouped without a sketch."""
+    sequence = ", ".join(["word", *(f"lead(word, {i}) over w" for i in range(1, k))])
+    steps = [
+        r"texts as (select doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as ws from documents)",
+        "words as (select doc_id, unnest(range(len(ws))) as pos, unnest(ws) as word, len(ws) as n from texts)",
+        f"windows as (select doc_id, pos, n, word, concat_ws(' ', {sequence}) as seq from words window w as (partition by doc_id order by pos))",
+        f"starts as (select doc_id, pos, row_number() over (partition by seq order by doc_id, pos) > 1 as again from windows where pos + {k} <= n)",
+        "marked as (select doc_id, w.pos, word, coalesce(again, false) as again from windows w left join starts s using (doc_id, pos))",
+        f"covered as (select doc_id, pos, word, bool_or(again) over (partition by doc_id order by pos rows between {k - 1} preceding and current row) as gone from marked)",
+        "kept as (select doc_id, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by pos) filter (where not gone) as kept_text from covered group by doc_id)",
+    ]
+    return "with " + ", ".join(steps) + " select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept_text, '')) as kept_sha256 from texts left join kept using (doc_id)"

@@ -17,7 +17,8 @@ WHITESPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+_M1, _M2 = (np.uint64(x) for x in MIX)
 _KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
 _PAD = np.zeros(16, dtype=np.uint8)
 SLICE_BYTES = 4 << 20

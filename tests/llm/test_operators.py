@@ -3,13 +3,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from arborix.llm import decontaminate, language_id, mixing, pii, quality_knn, quality_rules, sharding, simhash, substring_dedup, url_filter
+from arborix.llm import decontaminate, language_id, mixing, pii, quality_knn, quality_rules, queries, sharding, simhash, substring_dedup, url_filter
 from arborix.llm import textkernel as tk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -277,3 +278,20 @@ def test_pipeline_on_a_fixture(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "decontaminate", "mix_sources", "shard"]
     assert max(Counter(r.shard for r in out).values()) - min(Counter(r.shard for r in out).values()) <= 1
     assert hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_agree_with_their_sql(spark, texts, tmp_path, name):
+    """On a fixture with null and empty texts and pages; Spark and DuckDB read the same files."""
+    ids = [(i, t) for i, t, *_ in texts]
+    spark.createDataFrame(ids, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    pages = [(1, "http://A.b.example.com/en/x", '<a href="//b.net/q">'), (2, None, None), (3, "nohost", ""), (4, "http://b.net/es/?q#f", None), (5, "http://www.example.com/en/", '<img src=http://C.org/x>')]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    found = con.execute(queries.ORACLE_SQL[name])
+    at = [[c[0] for c in found.description].index(c) for c in got.columns]
+    want = Counter(tuple(row[i] for i in at) for row in found.fetchall())
+    assert Counter(map(tuple, got.collect())) == want
