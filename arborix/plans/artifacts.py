@@ -10,6 +10,7 @@ from ..operators import archives as ar
 from ..operators import documents as docs
 from ..operators import evaluation as ev
 from ..operators import inventory as inv
+from ..operators import specs
 from ..sources import directory, layout
 from .queries import EVALUATED_AT, ORACLE_SQL, OTHER, POLICY, QUERIES, RULE_SQL, SUBJECT, TREE, altered_tree, document_tree, query, table
 
@@ -161,3 +162,39 @@ def trust_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     subjects = e.groupBy("subject_digest").agg(F.lit(True).alias("by_digest"), none.alias("format"), F.count("*").alias("n_files"), F.lit(0).alias("total_size"), none.alias("tree_digest"))
     found = ev.evaluate(RULES, subjects, e, F.lit(EVALUATED_AT).cast("timestamp"))
     return found.groupBy("subject_digest", "code").agg(F.count("*").alias("n"))
+
+
+LANGS = "l as (select distinct coalesce(source, '') as bundle_id, coalesce(lang, 'none') as lang from documents)"
+SPEC_SOURCE = """'{"config":{"path":"' || lang || '"},"include":["**","*.txt"],"name":"' || lang || '","type":"path"}'"""
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("bundle_id"), F.coalesce("lang", F.lit("none")).alias("lang")).distinct()
+
+
+@query(f"with {LANGS}, t as (select bundle_id, count(*) as n, '{{\"apiVersion\":\"{KINDS.api_version}\",\"kind\":\"{specs.SPEC_KIND}\",\"metadata\":{{\"name\":\"corpus\"}},\"spec\":{{\"sources\":[' || string_agg({SPEC_SOURCE}, ',' order by lang) || ']}}}}' as text from l group by 1) select bundle_id, 'corpus' as name, 'sha256:' || sha256(text) as digest, n::int as n_sources, 'authored' as confidence from t")
+def spec_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What inspection shows of the spec of each source, whose sources are declared last first and whose patterns are repeated."""
+    pattern = F.array(F.lit("*.txt"), F.lit("**"), F.lit("*.txt"))
+    one = F.struct(F.lit("path").alias("type"), F.lit(".").alias("mountPath"), F.col("lang").alias("name"), pattern.alias("include"), F.struct(F.col("lang").alias("path")).alias("config"))
+    listed = languages(spark, sf_dir).select("bundle_id", F.to_json(one).alias("j"), "lang").groupBy("bundle_id").agg(F.expr("listagg(j, ', ') within group (order by lang desc)").alias("js"))
+    text = F.format_string('{"spec": {"sources": [%s]}, "metadata": {"name": "corpus"}, "kind": "' + specs.SPEC_KIND + '", "apiVersion": "' + KINDS.api_version + '"}', "js")
+    return specs.inspect_specs(specs.parse_specs(listed.select("bundle_id", text.alias("text")))).select("bundle_id", "name", "digest", "n_sources", "confidence")
+
+
+LOCK_FILE = """'{"digest":"' || digest || '","mode":' || mode || ',"path":"' || path || '","size":' || size || ',"source":"' || split_part(path, '/', 1) || '","sourcePath":"' || split_part(path, '/', 2) || '"}'"""
+LOCK_SOURCE = """'{"mountPath":"' || lang || '","name":"' || lang || '","requested":{"path":"' || lang || '"},"resolver":"path","treeDigest":"sha256:' || sha256(lang) || '","type":"path"}'"""
+
+
+@query(
+    f"with {TREE}, {LANGS}, f as (select bundle_id, string_agg({LOCK_FILE}, ',' order by path) as files from tree group by 1), s as (select bundle_id, string_agg({LOCK_SOURCE}, ',' order by lang) as sources from l group by 1), d as (select bundle_id, {digest_sql('tree')}), "
+    f"k as (select bundle_id, '{{\"apiVersion\":\"{KINDS.api_version}\",\"files\":[' || files || '],\"format\":\"{KINDS.format}\",\"kind\":\"{KINDS.lock_kind}\",\"manifestDigest\":\"sha256:' || sha256(bundle_id) || '\",\"sources\":[' || sources || '],\"treeDigest\":\"' || tree_digest || '\"}}' as lock from f join s using (bundle_id) join d using (bundle_id)) select bundle_id, 'sha256:' || sha256(lock) as digest, strlen(lock)::bigint as size from k"
+)
+def lock_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lock of each source's tree."""
+    langs, none = languages(spark, sf_dir), F.array().cast("array<string>")
+    sources = langs.select("bundle_id", F.col("lang").alias("name"), F.lit("path").alias("type"), F.lit("path").alias("resolver"), F.lit("").alias("resolver_version"), F.create_map(F.lit("path"), "lang").alias("requested"), F.create_map().cast("map<string,string>").alias("resolved"), digests.sha256_text(F.col("lang")).alias("tree_digest"), F.col("lang").alias("mount"), none.alias("include"), none.alias("exclude"))
+    files = document_tree(table(spark, sf_dir, "documents")).withColumns({"source": F.substring_index("path", "/", 1), "source_path": F.substring_index("path", "/", -1)})
+    heads = langs.select("bundle_id").distinct().withColumn("digest", digests.sha256_text(F.col("bundle_id")))
+    locks = specs.encode_locks(heads, sources, files)
+    return locks.select("bundle_id", "digest", F.octet_length("lock").cast("long").alias("size"))
