@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -31,29 +30,25 @@ from .components import components
 LEAF_PAIRS, FRONTIER = 16, 1 << 16
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, carry: list[str] | None = None, distinct: bool = False) -> DataFrame:
-    """doc_id, the long columns of carry, and fp, the SimHash (a signed long) of every whole text over its word shingles, repeats included unless distinct."""
-    names = ["doc_id", *(carry or [])]
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """doc_id and fp, the SimHash (a signed long) of every whole text over its word shingles, repeats included."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for _, _, data, offsets in tk.slices(batch.column(len(names))):
+            for _, _, data, offsets in tk.slices(batch.column(1)):
                 norm, starts, ends, first = tk.single_spaced(data, offsets)
                 begin, doc = tk.windows(first, shingle)
                 counts = np.diff(first)
                 short = np.flatnonzero((counts > 0) & (counts < shingle))
                 h = np.concatenate([tk.xxh64(norm, starts[begin], ends[begin + shingle - 1]), tk.xxh64(norm, starts[first[short]], ends[first[short] + counts[short] - 1])])
                 doc = np.concatenate([doc, short])
-                order = np.lexsort((h, doc)) if distinct else np.argsort(doc, kind="stable")
+                order = np.argsort(doc, kind="stable")
                 h, doc = h[order], doc[order]
-                if distinct and len(h):
-                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
-                    h, doc = h[new], doc[new]
                 out.append(tk.majority_bits(h, np.bincount(doc, minlength=len(counts))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], names=[*names, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(*(F.col(c).cast("long").alias(c) for c in names), "text").mapInArrow(compute, "".join(f"{c} long, " for c in names) + "fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(compute, "doc_id long, fp long")
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,24 +197,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataF
     return fps.join(linked.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 2, budget: int = 5) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row of least doc_id stays, and then of least hash.
-
-    The aim is texts whose five-word shingles have a Jaccard similarity of 0.8 or more. A fingerprint over distinct pairs of
-    words, with 5 bits to differ, finds 98% of such pairs (0.8 to 0.9; all above) among the test documents, one over four-word
-    shingles with repeats and 4 bits 83%, and neither joins unrelated texts. A null doc_id stays only where a component has no other. Of identical rows one stays.
-    """
-    keys = [F.xxhash64("doc_id", "text").alias("__k1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("__k2")]
-    named = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text").withColumns({"__k1": keys[0], "__k2": keys[1]})
-    fps = written(fingerprints(named, shingle, ["__k1", "__k2"], distinct=True), "fp")
-    nodes = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__k1", "__k2")).alias("best"))
-    best = nodes.join(_roots(fps, budget), "fp").groupBy("root").agg(F.min("best").alias("best"))
-    chosen = best.select("best.__k1", "best.__k2")
-    kept = named.select("__row", "__k1", "__k2").join(chosen, ["__k1", "__k2"])
-    first = W.partitionBy("__k1", "__k2").orderBy(F.xxhash64("__row"))
-    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("__row.*")
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     near = near_duplicates(table(spark, sf_dir, "documents"))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from arborix.llm import decontaminate, language_id, mixing, pii, quality_knn, quality_rules, queries, sharding, simhash, substring_dedup, url_filter
+from arborix.llm import decontaminate, language_id, mixing, near_sets, pii, quality_knn, quality_rules, queries, sharding, simhash, substring_dedup, url_filter
 from arborix.llm import textkernel as tk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -210,6 +210,38 @@ def test_op7_blocks_and_trie_lose_no_link(spark):
     assert np.array_equal(whole.root, cut.root)
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("block_bytes", [16 << 20, 1500])
+def test_near_dedup_keeps_to_the_set_rule(spark, block_bytes):
+    """Passages appended, replaced and cut out, at similarities on both sides of 0.8, in groups of one block and of several."""
+    rng = np.random.default_rng(11)
+    word = lambda n: " ".join("".join(rng.choice(list("abcdefghijk"), 6)) for _ in range(n))
+    rows, groups = [], []
+    for g in range(40):
+        base = word(200).split()
+        n = int(rng.integers(8, 60))
+        edits = [base, base + word(n).split(), base[:50] + word(n // 2).split() + base[50 + n // 2 :], base[: 200 - n], base[:90] + base[90 + n // 2 :]]
+        groups.append([len(rows) + k for k in range(len(edits))])
+        rows += [(len(rows) + k, " ".join(e)) for k, e in enumerate(edits)]
+    rows += [(900, None), (901, ""), (902, "one two"), (903, "One  two"), (None, rows[0][1])]
+    keep = {900, 902}
+    for ids in groups:
+        root = {i: i for i in ids}
+        for a in ids:
+            for b in ids:
+                if jaccard(rows[a][1], rows[b][1]) >= 0.8 and root[a] != root[b]:
+                    root = {i: min(root[a], root[b]) if r in (root[a], root[b]) else r for i, r in root.items()}
+        keep |= set(root.values())
+    assert 60 < len(keep) < 190
+    got = near_sets.one_of_each(docs(spark, rows), block_bytes=block_bytes).collect()
+    assert sorted(r.doc_id for r in got) == sorted(keep) and got[0].shard == 1
+    assert near_sets.one_of_each(docs(spark, [])).count() == 0
+
+
 def test_op8(spark, texts):
     rows = docs(spark, [(i, t) for i, t, *_ in texts] + [(None, "a#b $ c"), (950, "l1 x\nl1 x\n\n \nl1 x")])
     got = quality_rules.judge(rows, [], ["doc_id"]).collect()
