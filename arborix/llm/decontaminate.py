@@ -4,8 +4,9 @@ Numbers, names and units become typed placeholders, so a question with other
 values keeps its template. Windows of template tokens are matched by hash against
 the windows of the benchmark items. Where windows of a text and an item line up,
 the values in the slots are compared: a re-parameterised question maps each value
-of the item to one value of the text and back, and a match whose mapping isn't
-one to one is dropped.
+of the item to one value of the text and back. Where the mapping of all windows
+isn't one to one, the match is dropped, or, with whole, as the queries have it,
+judged by its longest run of windows with such a mapping.
 
 Tokens are words without punctuation, in lower case (ASCII and Latin-1). A
 number starts with a digit; a unit is a listed word after a number; a name is a
@@ -124,7 +125,8 @@ def _windows(t: Tokens, k: int, short: bool) -> tuple[np.ndarray, np.ndarray, np
 class Benchmark:
     """One block of items: tokens of all, and their windows sorted by key."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], k: int, least_plain: int) -> None:
+    def __init__(self, items: list[tuple[int | None, str | None]], k: int = WINDOW, least_plain: int = LEAST_PLAIN, whole: bool = False) -> None:
+        self.whole = whole
         self.ids = [i for i, _ in items]
         _, _, data, offsets = next(tk.slices(pa.array([x for _, x in items], pa.large_string()), 1 << 60))
         self.tokens = Tokens(data, offsets)
@@ -158,13 +160,42 @@ class Benchmark:
             slots = covered[t.slot[covered]]
             a, b = t.value[slots], self.tokens.value[slots - shift]
             pairs = len(np.unique(np.stack([a, b]), axis=1).T)
-            if pairs == len(np.unique(a)) == len(np.unique(b)):
+            n, w = len(covered), len(windows)
+            if not pairs == len(np.unique(a)) == len(np.unique(b)):
+                if not self.whole:
+                    continue
+                n, w = self._best_run(t, shift, windows)
+            if n:
                 have = found.setdefault((doc, item), [0, 0])
-                have[0], have[1] = max(have[0], len(covered)), have[1] + len(windows)
+                have[0], have[1] = max(have[0], n), have[1] + w
         for (doc, item), (n, w) in found.items():
             yield doc, item, n, w
 
 
+    def _best_run(self, t: Tokens, shift: int, windows: list[tuple[int, int]]) -> tuple[int, int]:
+        """Tokens of the longest run of adjoining windows whose slots map one to one, and how many windows do so for themselves."""
+        spans: list[list[int]] = []
+        for p, n in sorted(windows):
+            if spans and p <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], p + n)
+            else:
+                spans.append([p, p + n])
+        reach = {}  # first token of the consistent run that ends before each token
+        for lo, hi in spans:
+            there, back, left = {}, {}, lo
+            for i in range(lo, hi):
+                if t.slot[i]:
+                    a, b = int(t.value[i]), int(self.tokens.value[i - shift])
+                    for seen, x, y in ((there, a, b), (back, b, a)):
+                        for z, at in seen.setdefault(x, {}).items():
+                            if z != y:
+                                left = max(left, at + 1)
+                        seen[x][y] = i
+                reach[i + 1] = left
+        fit = sum(reach[p + n] <= p for p, n in windows)
+        return (max(end - start for end, start in reach.items()) if fit else 0), fit
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
     """The items in blocks of about block_bytes of text each, read one after the other."""
     block, size = [], 0
@@ -178,15 +209,18 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, k: int = WINDOW, least_plain: int = LEAST_PLAIN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns of keep (doc_id by default), item_id, n_tokens (of the longest match) and n_windows for each row and item that match."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, k: int = WINDOW, least_plain: int = LEAST_PLAIN, block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
+    """The columns of keep (doc_id by default), item_id, n_tokens (of the longest match) and n_windows for each row and item that match.
+
+    whole: find all that the queries are to find; without it a match is judged over all its windows at once.
+    """
     keep = keep or ["doc_id"]
     spark = docs.sparkSession
     rows = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "item_id long, n_tokens long, n_windows long"])
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(Benchmark(block, k, least_plain))  # of bounded size
+        shared = spark.sparkContext.broadcast(Benchmark(block, k, least_plain, whole))  # of bounded size
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = shared.value
@@ -202,12 +236,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, least_plain: int = LEAST_PLAIN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, least_plain: int = LEAST_PLAIN, block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
     """The rows of docs that match no item, with the columns of docs."""
     spark, names, at = docs.sparkSession, docs.columns, docs.columns.index("text")
     out = docs
     for block in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(Benchmark(block, k, least_plain))  # of bounded size
+        shared = spark.sparkContext.broadcast(Benchmark(block, k, least_plain, whole))  # of bounded size
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -222,4 +256,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, least_
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that repeats a benchmark item, with the item."""
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True)

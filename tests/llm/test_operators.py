@@ -284,6 +284,26 @@ def test_op9(spark):
     assert decontaminate.find_leaks(docs(spark, []), bench).count() == decontaminate.find_leaks(d, bench.limit(0)).count() == 0
 
 
+def leaks(item, text):
+    """(tokens, windows) of the match as the queries find it, or None."""
+    _, _, data, offsets = next(tk.slices(pa.array([text], pa.large_string())))
+    got = list(decontaminate.Benchmark([(1, item)], whole=True).matches(decontaminate.Tokens(data, offsets)))
+    return got[0][2:] if got else None
+
+
+def test_op9_one_conflicting_slot_drops_no_other_window(spark, tmp_path):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(50)]
+    item = " ".join([*words[:20], "7", *words[20:40], "7", *words[40:]])
+    assert leaks(item, item)[0] == 52
+    assert leaks(item, item.replace("7", "8", 1))[0] == 41
+    merged = " ".join([*words[:20], "5", *words[20:40], "7", *words[40:]])
+    assert leaks(merged, merged.replace("5", "6").replace("7", "6"))[0] == 41
+    assert leaks("one two three 5 four five six seven 7 eight", "one two three 6 four five six seven 6 eight") is None
+    spark.createDataFrame([(1, item.replace("7", "8", 1)), (2, "clean")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.op9_decontaminate(spark, str(tmp_path)).collect()] == [(1, 1)]
+
+
 def test_op10(spark):
     rng = np.random.default_rng(6)
     good = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(40))
