@@ -12,8 +12,10 @@ Tokens are words without punctuation, in lower case (ASCII and Latin-1). A
 number starts with a digit; a unit is a listed word after a number; a name is a
 capitalised word (not one in capitals throughout) that doesn't begin a sentence;
 neighbouring names are one. An
-item shorter than the window is one window. Items without enough plain words
-match nothing. Null texts have no tokens; null ids of documents are kept as null;
+item shorter than the window is one window. Windows without enough plain words
+are left out of the templates. With whole, windows of the words themselves, in
+lower case and without placeholders, are matched besides, so a verbatim copy of
+any item is found, however short it is or full of numbers. Null texts have no tokens; null ids of documents are kept as null;
 repeated rows give repeated matches; repeated or null item ids are items of their
 own rows. The benchmark is a query set: it is read in blocks of bounded size, and
 every block meets every document.
@@ -22,6 +24,7 @@ every block meets every document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,15 @@ _DROPPED = ~_ALNUM & ~tk.WHITESPACE
 _STOPS = np.isin(_B, [ord(c) for c in ".!?:\n"])
 
 
+class View(NamedTuple):
+    """One form of the texts of a slice: hash of each token, value and whether it is a slot, first token of each text."""
+
+    token: np.ndarray
+    value: np.ndarray
+    slot: np.ndarray
+    first: np.ndarray
+
+
 class Tokens:
     """Template tokens of a slice: class or hash, value hash of the slot, first token of each text."""
 
@@ -83,6 +95,7 @@ class Tokens:
         again = np.zeros(n, dtype=bool)
         again[1:] = name[:-1] & name[1:]
         again[first[:-1][first[:-1] < n]] = False
+        self.words = View(h, h, np.zeros(n, dtype=bool), first)
         slot = number | unit | name
         token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, h)))
         keep = ~again
@@ -96,6 +109,10 @@ class Tokens:
             merged = np.bincount(group, minlength=len(at)) > 1
             self.value = np.where(merged, whole, self.value)
 
+    def views(self, whole: bool) -> list[View]:
+        """The template and, if whole, the words as they are but for case."""
+        return [View(self.token, self.value, self.slot, self.first), *([self.words] if whole else [])]
+
 
 _units: list[np.ndarray] = []
 
@@ -108,7 +125,7 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def _windows(t: Tokens, k: int, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(t: View, k: int, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key, first token and length of each window; with short, a text of less than k tokens is one window."""
     begin, _ = tk.windows(t.first, k)
     key = tk.window_hashes(t.token, k)[begin]
@@ -122,39 +139,36 @@ def _windows(t: Tokens, k: int, short: bool) -> tuple[np.ndarray, np.ndarray, np
     return key, begin, length
 
 
-class Benchmark:
-    """One block of items: tokens of all, and their windows sorted by key."""
+class Index:
+    """One form of the items of a block: its tokens, and their windows sorted by key."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], k: int = WINDOW, least_plain: int = LEAST_PLAIN, whole: bool = False) -> None:
-        self.whole = whole
-        self.ids = [i for i, _ in items]
-        _, _, data, offsets = next(tk.slices(pa.array([x for _, x in items], pa.large_string()), 1 << 60))
-        self.tokens = Tokens(data, offsets)
-        key, begin, length = _windows(self.tokens, k, short=True)
-        plain = np.concatenate([[0], np.cumsum(~self.tokens.slot)])
+    def __init__(self, tokens: View, k: int, least_plain: int, whole: bool) -> None:
+        self.tokens, self.whole = tokens, whole
+        key, begin, length = _windows(tokens, k, short=True)
+        plain = np.concatenate([[0], np.cumsum(~tokens.slot)])
         enough = plain[begin + length] - plain[begin] >= np.minimum(least_plain, length)
         enough &= length >= min(least_plain, k)
         order = np.argsort(key[enough], kind="stable")
         self.key, self.begin, self.length = key[enough][order], begin[enough][order], length[enough][order]
-        self.item = np.searchsorted(self.tokens.first, self.begin, side="right") - 1
+        self.item = np.searchsorted(tokens.first, self.begin, side="right") - 1
 
-    def matches(self, t: Tokens) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, tokens matched, windows) for each text and item that share windows with consistent slots."""
+    def matches(self, t: View) -> dict[tuple[int, int], list[int]]:
+        """Tokens matched and windows of each (text, item) that share windows with consistent slots."""
+        found: dict[tuple[int, int], list[int]] = {}
         if len(self.key) == 0 or len(t.token) == 0:
-            return
+            return found
         hits: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
         for n in np.unique(self.length):
             begin, doc = tk.windows(t.first, int(n))
             key = tk.window_hashes(t.token, int(n))[begin]
             mine = self.key[self.length == n]
-            lo, hi = np.searchsorted(mine, key), np.searchsorted(mine, key, side="right")
+            lo = np.searchsorted(mine, key)
             at = np.flatnonzero(self.length == n)
-            for w in np.flatnonzero(hi > lo):
-                for j in at[lo[w] : hi[w]]:
+            for w in np.flatnonzero(mine[np.minimum(lo, len(mine) - 1)] == key):
+                for j in at[lo[w] : np.searchsorted(mine, key[w], side="right")]:
                     p, q = int(begin[w]), int(self.begin[j])
                     if np.array_equal(t.token[p : p + n], self.tokens.token[q : q + n]):
                         hits.setdefault((int(doc[w]), int(self.item[j]), p - q), []).append((p, int(n)))
-        found: dict[tuple[int, int], list[int]] = {}
         for (doc, item, shift), windows in hits.items():
             covered = np.unique(np.concatenate([np.arange(p, p + n) for p, n in windows]))
             slots = covered[t.slot[covered]]
@@ -168,11 +182,10 @@ class Benchmark:
             if n:
                 have = found.setdefault((doc, item), [0, 0])
                 have[0], have[1] = max(have[0], n), have[1] + w
-        for (doc, item), (n, w) in found.items():
-            yield doc, item, n, w
+        return found
 
 
-    def _best_run(self, t: Tokens, shift: int, windows: list[tuple[int, int]]) -> tuple[int, int]:
+    def _best_run(self, t: View, shift: int, windows: list[tuple[int, int]]) -> tuple[int, int]:
         """Tokens of the longest run of adjoining windows whose slots map one to one, and how many windows do so for themselves."""
         spans: list[list[int]] = []
         for p, n in sorted(windows):
@@ -196,6 +209,28 @@ class Benchmark:
         return (max(end - start for end, start in reach.items()) if fit else 0), fit
 
 
+class Benchmark:
+    """One block of items, in the form of templates and, if whole, in that of words."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], k: int = WINDOW, least_plain: int = LEAST_PLAIN, whole: bool = False) -> None:
+        self.ids, self.whole = [i for i, _ in items], whole
+        _, _, data, offsets = next(tk.slices(pa.array([x for _, x in items], pa.large_string()), 1 << 60))
+        template, *others = Tokens(data, offsets).views(whole)
+        self.forms = [Index(template, k, least_plain, whole)]
+        if others:
+            self.forms.append(Index(others[-1], k, 1, whole))
+
+    def matches(self, t: Tokens) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, tokens matched, windows) for each text and item that match; the most of any form."""
+        found: dict[tuple[int, int], list[int]] = {}
+        for form, view in zip(self.forms, t.views(self.whole), strict=True):
+            for pair, (n, w) in form.matches(view).items():
+                have = found.setdefault(pair, [0, 0])
+                have[0], have[1] = max(have[0], n), max(have[1], w)
+        for (doc, item), (n, w) in found.items():
+            yield doc, item, n, w
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
     """The items in blocks of about block_bytes of text each, read one after the other."""
     block, size = [], 0
