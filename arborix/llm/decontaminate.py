@@ -13,9 +13,11 @@ number starts with a digit; a unit is a listed word after a number; a name is a
 capitalised word (not one in capitals throughout) that doesn't begin a sentence;
 neighbouring names are one. An
 item shorter than the window is one window. Windows without enough plain words
-are left out of the templates. With whole, windows of the words themselves, in
-lower case and without placeholders, are matched besides, so a verbatim copy of
-any item is found, however short it is or full of numbers. Null texts have no tokens; null ids of documents are kept as null;
+are left out of the templates. With whole, two more forms are
+matched. In one, every capitalised word is a name, also where it begins a
+sentence, so where sentences begin makes no difference. The other is the words
+themselves, in lower case and without placeholders, so a verbatim copy of any
+item is found in any case, however short it is or full of numbers. Null texts have no tokens; null ids of documents are kept as null;
 repeated rows give repeated matches; repeated or null item ids are items of their
 own rows. The benchmark is a query set: it is read in blocks of bounded size, and
 every block meets every document.
@@ -86,32 +88,36 @@ class Tokens:
         if n > 1:
             begins[1:] = stops[place[starts[1:]]] > stops[place[ends[:-1] - 1] + 1]
         begins[first[:-1][first[:-1] < n]] = True
-        name = capital & ~begins
         after = np.zeros(n, dtype=bool)
         after[1:] = number[:-1]
         after[first[:-1][first[:-1] < n]] = False
         unit = after & ~number & np.isin(h, _unit_hashes())
-        name &= ~unit
+        self.words = View(h, h, np.zeros(n, dtype=bool), first)
+        self.number, self.unit, self.capital = number, unit, capital & ~unit
+        self.token, self.value, self.slot, self.first = self._template(self.capital & ~begins)
+
+    def _template(self, name: np.ndarray) -> View:
+        """The words with placeholders, given which of them are names."""
+        h, first, n = self.words.token, self.words.first, len(name)
         again = np.zeros(n, dtype=bool)
         again[1:] = name[:-1] & name[1:]
         again[first[:-1][first[:-1] < n]] = False
-        self.words = View(h, h, np.zeros(n, dtype=bool), first)
-        slot = number | unit | name
-        token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, h)))
+        slot = self.number | self.unit | name
+        token = np.where(self.number, _NUMBER, np.where(self.unit, _UNIT, np.where(name, _NAME, h)))
         keep = ~again
         kept = np.concatenate([[0], np.cumsum(keep)])
-        self.token, self.value, self.slot, self.first = token[keep], h[keep], slot[keep], kept[first]
+        value = h[keep]
         if again.any():  # a run of names is one slot
-            at = np.flatnonzero(keep)
             group = np.cumsum(keep) - 1
-            whole = np.zeros(len(at), dtype=np.uint64)
+            whole = np.zeros(len(value), dtype=np.uint64)
             np.add.at(whole, group, h * np.uint64(0x9E3779B97F4A7C15))
-            merged = np.bincount(group, minlength=len(at)) > 1
-            self.value = np.where(merged, whole, self.value)
+            merged = np.bincount(group, minlength=len(value)) > 1
+            value = np.where(merged, whole, value)
+        return View(token[keep], value, slot[keep], kept[first])
 
     def views(self, whole: bool) -> list[View]:
-        """The template and, if whole, the words as they are but for case."""
-        return [View(self.token, self.value, self.slot, self.first), *([self.words] if whole else [])]
+        """The template and, if whole, that with sentence openings as names too, and the words as they are but for case."""
+        return [View(self.token, self.value, self.slot, self.first), *([self._template(self.capital), self.words] if whole else [])]
 
 
 _units: list[np.ndarray] = []
@@ -210,15 +216,13 @@ class Index:
 
 
 class Benchmark:
-    """One block of items, in the form of templates and, if whole, in that of words."""
+    """One block of items, in each form that Tokens.views gives."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], k: int = WINDOW, least_plain: int = LEAST_PLAIN, whole: bool = False) -> None:
         self.ids, self.whole = [i for i, _ in items], whole
         _, _, data, offsets = next(tk.slices(pa.array([x for _, x in items], pa.large_string()), 1 << 60))
-        template, *others = Tokens(data, offsets).views(whole)
-        self.forms = [Index(template, k, least_plain, whole)]
-        if others:
-            self.forms.append(Index(others[-1], k, 1, whole))
+        least = [least_plain, least_plain, 1]
+        self.forms = [Index(view, k, n, whole) for view, n in zip(Tokens(data, offsets).views(whole), least, strict=False)]
 
     def matches(self, t: Tokens) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, tokens matched, windows) for each text and item that match; the most of any form."""

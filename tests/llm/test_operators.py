@@ -311,6 +311,16 @@ def test_op9_finds_copies_of_items_with_few_plain_words(item, bare):
     assert leaks(item, "other text") is leaks("", item) is leaks(item, "") is None
 
 
+def test_op9_names_by_case_and_place():
+    item = "In the shop Tom buys 5 apples and gives 2 kg to Ann before Tom walks home alone again"
+    assert leaks(item, item.upper()) and leaks(item, f"so it goes {item.lower()}") and leaks(item, item.title())
+    assert leaks("The shop sells 5 red apples for each day", "Question The shop sells 5 red apples for each day")
+    opened = "Tom carries 5 red apples down into the old kitchen"
+    assert leaks(opened, "It is late. Bob carries 7 red apples down into the old kitchen")
+    assert leaks(opened, "And then Bob carries 7 red apples down into the old kitchen")
+    assert leaks(opened, "It is late. Bob carries 7 green apples down into the old kitchen") is None
+
+
 def test_op10(spark):
     rng = np.random.default_rng(6)
     good = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(40))
