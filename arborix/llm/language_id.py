@@ -6,9 +6,12 @@ network is trained in numpy on the driver, on at most max_train windows of
 labelled text. Every byte of a text lies in one window; the text's
 probabilities are those of its windows averaged by length.
 
-A text that is null or has no letter is `und` with score 0. Languages are the
-labels seen in training, in order; without any labelled row every text is `und`.
-Repeated rows are scored alike; a null id counts as the id '' in the split.
+A text that is null or has no letter is `und` with score 0; an empty table gives
+no rows. Languages are the labels seen in training, in order; without any labelled
+row every text is `und`. Repeated rows are scored alike; a null id counts as the
+id '' in the split. Equal probabilities give the first label. A very long text is
+read in pieces of PIECE_WINDOWS windows. Columns other than those of keep and the
+text are not read.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .samples import bounded, remainder
 from .common import table
+from .samples import remainder, sampled
 
-LENGTH, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 12, 6
-MAX_TRAIN, EPOCHS, RATE, BATCH = 4000, 6, 0.01, 32
+LENGTH, WIDTHS, FILTERS, EMBED, PIECE_WINDOWS = 128, (2, 3, 4), 12, 6, 256
+MAX_TRAIN, PIECES, EPOCHS, RATE, BATCH = 4000, 4, 6, 0.01, 32
 #: Byte classes: letters without case, the space, and all other ASCII as one; each other byte for itself.
 _FOLD = np.full(256, 1, dtype=np.uint8)
 _FOLD[97:123] = np.arange(2, 28)
@@ -112,18 +115,21 @@ class ByteCnn:
         return [d_embed, *d_filters, *d_bias, a.T @ ds, ds.sum(axis=0)]
 
 
-def window_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Folded windows of LENGTH bytes that cover each text (the rest of the last is blank), the text of each, and the bytes in it."""
+def window_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Folded windows of LENGTH bytes that cover each text (the rest of the last is blank), the text of each, and the bytes in it; PIECE_WINDOWS at a time."""
     lengths = np.diff(offsets)
     n = -(-lengths // LENGTH)
-    doc = np.repeat(np.arange(len(n)), n)
-    within = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    begin = offsets[:-1][doc] + within * LENGTH
-    size = np.minimum(lengths[doc] - within * LENGTH, LENGTH)
+    ends = np.cumsum(n)
     padded = np.concatenate([_FOLD[data], np.zeros(LENGTH, np.uint8)])
-    x = padded[begin[:, None] + np.arange(LENGTH)]
-    x[np.arange(LENGTH) >= size[:, None]] = 0
-    return x, doc, size
+    for lo in range(0, int(n.sum()), PIECE_WINDOWS):
+        at = np.arange(lo, min(lo + PIECE_WINDOWS, int(n.sum())))
+        doc = np.searchsorted(ends, at, side="right")
+        within = at - (ends - n)[doc]
+        begin = offsets[:-1][doc] + within * LENGTH
+        size = np.minimum(lengths[doc] - within * LENGTH, LENGTH)
+        x = padded[begin[:, None] + np.arange(LENGTH)]
+        x[np.arange(LENGTH) >= size[:, None]] = 0
+        yield x, doc, size
 
 
 def fit(rows: list[tuple[str, str]], max_train: int = MAX_TRAIN) -> ByteCnn | None:
@@ -134,7 +140,7 @@ def fit(rows: list[tuple[str, str]], max_train: int = MAX_TRAIN) -> ByteCnn | No
         return None
     net, rng = ByteCnn(labels), np.random.default_rng(4)
     _, _, data, offsets = next(tk.slices(pa.array([t for t, _ in rows], pa.large_string()), 1 << 60))
-    x, doc, size = window_rows(data, offsets)
+    x, doc, size = (np.concatenate(v) for v in zip(*window_rows(data, offsets), strict=True))
     good = np.flatnonzero((size >= min(LENGTH, 16)) | (np.bincount(doc, minlength=len(rows))[doc] == 1))
     chosen = rng.permutation(good)
     _, once = np.unique(doc[chosen], return_index=True)  # every text has a window before any has two
@@ -159,9 +165,8 @@ def identify(docs: DataFrame, net: ByteCnn | None, keep: list[str]) -> DataFrame
             best, top = [], []
             for lo, hi, data, offsets in tk.slices(batch.column(len(keep)), 1 << 20):
                 total = np.zeros((hi - lo, len(model.labels)))
-                x, doc, size = window_rows(data, offsets)
-                for at in range(0, len(x), 256):
-                    np.add.at(total, doc[at : at + 256], model.probabilities(x[at : at + 256]) * size[at : at + 256, None])
+                for x, doc, size in window_rows(data, offsets):
+                    np.add.at(total, doc, model.probabilities(x) * size[:, None])
                 total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
                 best.append(total.argmax(axis=1))
                 top.append(total.max(axis=1))
@@ -174,11 +179,15 @@ def identify(docs: DataFrame, net: ByteCnn | None, keep: list[str]) -> DataFrame
     return rows.mapInArrow(score, schema)
 
 
-def training_rows(docs: DataFrame, learnable: Column, most: int = MAX_TRAIN) -> list[tuple[str, str]]:
-    """At most `most` labelled texts, each cut to a few windows from its middle for training alone."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable)
-    cut = known.select("doc_id", "lang", F.expr(f"substring(text, greatest(1, int(length(text) / 2) - {2 * LENGTH}), {4 * LENGTH})").alias("t"))
-    return [(r.t, r.lang) for r in bounded(cut, most, "doc_id")]
+def training_rows(docs: DataFrame, learnable: Column, most: int = MAX_TRAIN, pieces: int = PIECES) -> list[tuple[str, str]]:
+    """(piece, language): up to `pieces` windows of each of at most `most` labelled texts, spread evenly over the whole text.
+
+    The texts are chosen by the hash of id and text. Both bounds are of training alone; predictions read every byte.
+    """
+    known = sampled(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable).select("doc_id", "lang", "text"), most, "doc_id", "text")
+    spread = f"array_distinct(transform(sequence(0, {pieces - 1}), i -> substring(text, 1 + int(greatest(length(text) - {LENGTH}, 0) * i div {max(pieces - 1, 1)}), {LENGTH})))"
+    cut = known.select(F.xxhash64("doc_id", "text").alias("h"), "lang", F.posexplode(F.expr(spread)).alias("i", "t"))
+    return [(r.t, r.lang) for r in sorted(cut.collect(), key=lambda r: (r.h, r.lang, r.i))]
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

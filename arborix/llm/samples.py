@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_STEPS = 1 << 30
+_LEVEL = 16  # bits of the hash that one pass looks at
 
 
 def remainder(doc_id: str, modulus: int) -> Column:
@@ -14,14 +14,28 @@ def remainder(doc_id: str, modulus: int) -> Column:
 
 
 def sampled(df: DataFrame, most: int, *key: str) -> DataFrame:
-    """All rows where they are `most` or fewer, else a share of about 0.95 * most, by the hash of the key, and never more than `most`.
+    """All rows where they are `most` or fewer, else the `most` rows whose hash of the key is least.
 
-    A filter on the scan: no task sends more than its share.
+    The key should name every column that matters: rows of one key count as alike, and any of them may stand for another,
+    so a key that a third of all rows share takes its share of the sample and no more. The hash is cut level by level by
+    counts of 2 ** 16 buckets, so the rows are chosen by a filter on the scan; only those of the last bucket that doesn't
+    fit whole are sorted. The same rows are chosen however the table is split.
     """
-    n = df.count()
-    if n <= most:
-        return df
-    return df.where(F.pmod(F.xxhash64(*key), F.lit(_STEPS)) < int(_STEPS * 0.95 * most / n)).limit(most)
+    h = F.xxhash64(*key)
+    taken, inside, room = F.lit(False), F.lit(True), most
+    for level in range(1, 64 // _LEVEL + 1):
+        part = F.shiftrightunsigned(h, 64 - _LEVEL * level).bitwiseAND((1 << _LEVEL) - 1)
+        counts = sorted((r.part, r.n) for r in df.where(inside).groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+        if sum(n for _, n in counts) <= room:
+            return df.where(taken | inside)
+        for at, n in counts:
+            if n > room:
+                break
+            room -= n
+        taken, inside = taken | (inside & (part < at)), inside & (part == at)
+        if n <= most or not room:
+            break
+    return df.where(taken).unionByName(df.where(inside).orderBy(h).limit(room)) if room else df.where(taken)
 
 
 def bounded(df: DataFrame, most: int, *key: str) -> list:
