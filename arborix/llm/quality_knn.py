@@ -7,9 +7,13 @@ decomposition. The latent vectors of those texts are broadcast, each document is
 projected, its cosines with all of them are computed in blocks, and the labels of
 the nearest are averaged, weighted by similarity.
 
-Null and empty texts have no terms and get the share of label 1 among the
-labelled rows; without labelled rows every score is 0.5. A null id matches no
-label; repeated rows are scored alike.
+A score depends on the text alone, not on its neighbours, order or batch. Null
+and empty texts have no terms and get the share of label 1 among the labelled
+rows; without labelled rows every score is 0.5; an empty table gives no rows. A
+null id matches no label; repeated rows are scored alike. Ties at the last
+neighbour share its place. A very long text is counted in one piece, in memory in
+proportion to it; only its counts leave the executor. Columns other than those
+of keep and the text are not read.
 """
 
 from __future__ import annotations
@@ -22,11 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .samples import bounded, remainder
 from .common import table
+from .samples import remainder, sampled
 
 TRIGRAMS, SHAPES, TERMS = 1024, 512, 2048
-RANK, NEIGHBOURS, MAX_LABELLED, POWER = 48, 15, 3000, 8
+RANK, NEIGHBOURS, MAX_LABELLED, POWER, DIGITS = 48, 15, 3000, 8, 9
 _CLASS = np.full(256, 5, dtype=np.uint64)  # of a byte in a word: 0 lower, 1 upper, 2 digit, 3 mark of a sentence, 4 other symbol, 5 not ASCII
 _CLASS[:128] = 4
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
@@ -58,7 +62,7 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         before[1:] = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1])
         single = TRIGRAMS + (shape % np.uint64(SHAPES)).astype(np.int64)
         pair = np.zeros(len(h), dtype=np.uint64)
-        pair[1:] = shape[:-1] * np.uint64(3)
+        pair[1:] = np.where(doc[1:] == doc[:-1], shape[:-1] * np.uint64(3), np.uint64(0))  # a text's first word has no predecessor
         double = TRIGRAMS + SHAPES + (tk.mix(pair + shape) % np.uint64(SHAPES - 1)).astype(np.int64)
         double = np.where(before, TERMS - 1, double)
         for term in (single, double):
@@ -70,46 +74,75 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Latent:
-    """The projection, the labelled vectors and their labels."""
+    """The projection, the labelled vectors and their labels, from the term counts of the labelled texts."""
 
-    def __init__(self, texts: list[str | None], labels: list[int], rank: int = RANK) -> None:
-        x = np.concatenate([term_counts(d, o) for _, _, d, o in tk.slices(pa.array(texts, pa.large_string()), 1 << 20)])
-        self.labels = np.array(labels, dtype=np.float32)
+    def __init__(self, x: np.ndarray, labels: list[int], rank: int = RANK) -> None:
+        self.labels = np.array(labels, dtype=np.float64)
         self.share = float(self.labels.mean())
-        self.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.3).astype(np.float32)
-        self.mean = (x * self.idf).mean(axis=0)
-        centred = x * self.idf - self.mean
+        self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.3
+        weighted = x * self.idf
+        self.mean = weighted.mean(axis=0)
+        centred = weighted - self.mean
         values, vectors = np.linalg.eigh(centred.T @ centred)  # terms by terms: its size doesn't depend on the rows
-        self.basis = vectors[:, ::-1][:, : min(rank, len(x))].astype(np.float32)
+        self.basis = np.ascontiguousarray(vectors[:, ::-1][:, : min(rank, len(x))])
         self.vectors = self._unit(centred @ self.basis)
 
     @staticmethod
     def _unit(v: np.ndarray) -> np.ndarray:
-        return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
-    def project(self, x: np.ndarray) -> np.ndarray:
-        return self._unit((x * self.idf - self.mean) @ self.basis)
+    def cosines(self, x: np.ndarray) -> np.ndarray:
+        """With every labelled vector, to DIGITS digits, so that a text's cosines don't depend on its neighbours in a block."""
+        return np.round(self._unit((x * self.idf - self.mean) @ self.basis) @ self.vectors.T, DIGITS)
 
     def scores(self, x: np.ndarray, k: int = NEIGHBOURS, power: int = POWER) -> np.ndarray:
-        """The weighted share of label 1 among the k nearest labelled vectors, over exact cosines."""
-        cosine = self.project(x) @ self.vectors.T
+        """The weighted share of label 1 among the k nearest labelled vectors, over exact cosines.
+
+        Vectors as near as the k-th share the places that those nearer leave.
+        """
+        cosine = self.cosines(x)
         k = min(k, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-3) ** power
-        score = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+        last = np.partition(cosine, len(self.labels) - k, axis=1)[:, len(self.labels) - k, None]
+        nearer, level = cosine > last, cosine == last
+        places = (k - nearer.sum(axis=1)) / level.sum(axis=1)
+        weight = np.where(nearer, np.maximum(cosine, 1e-3) ** power, level * (np.maximum(last, 1e-3) ** power * places[:, None]))
+        score = np.round((weight @ self.labels) / weight.sum(axis=1), DIGITS)
         return np.where(x.any(axis=1), score, self.share)
 
 
+def _blocks(texts: pa.Array, rows: int = 512) -> Iterator[np.ndarray]:
+    """The term counts of the texts, some rows at a time."""
+    for lo, hi, data, offsets in tk.slices(texts, 1 << 20):
+        for at in range(0, hi - lo, rows):
+            o = offsets[at : min(at + rows, hi - lo) + 1]
+            yield term_counts(data[o[0] : o[-1]], o - o[0])
+
+
 def fit(rows: list[tuple[str | None, int]]) -> Latent | None:
-    return Latent([t for t, _ in rows], [y for _, y in rows]) if rows else None
+    """A model from (text, label) rows."""
+    return Latent(np.concatenate(list(_blocks(pa.array([t for t, _ in rows], pa.large_string())))), [y for _, y in rows]) if rows else None
+
 
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most: int = MAX_LABELLED) -> Latent | None:
+    """A model from at most `most` labelled texts, chosen by the hash of id and text; ids whose labels disagree count as 0.
+
+    The driver gets term counts, 4 * TERMS bytes for each chosen text however long that is.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & learnable).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    chosen = F.broadcast(sampled(known, most, "doc_id"))  # at most `most` rows of 12 bytes
+    found = sampled(docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "quality", "text"), most, "doc_id", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for x in _blocks(batch.column(2)):
+                cells = pa.array([row.tobytes() for row in x.astype(np.float32)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), batch.column(1).slice(at, len(x)), cells], names=["key", "quality", "x"])
+                at += len(x)
 
-def training_rows(docs: DataFrame, labels: DataFrame, learnable: Column, most: int = MAX_LABELLED) -> list[tuple[str | None, int]]:
-    """At most `most` labelled texts, chosen by the hash of their id; rows whose labels disagree count as 0."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & learnable).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = docs.sparkSession.createDataFrame(bounded(known, most, "doc_id"), "doc_id long, quality int")
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `most` rows of 12 bytes
-    return [(r.text, r.quality) for r in bounded(found.select("doc_id", "quality", "text"), most, "doc_id", "text")]
+    got = found.select(F.xxhash64("doc_id", "text"), "quality", "text").mapInArrow(count, "key long, quality int, x binary").collect()
+    got = sorted(got, key=lambda r: (r.key, r.quality))
+    return Latent(np.stack([np.frombuffer(r.x, np.float32) for r in got]), [r.quality for r in got]) if got else None
 
 
 def score_quality(docs: DataFrame, model: Latent | None, keep: list[str]) -> DataFrame:
@@ -122,11 +155,7 @@ def score_quality(docs: DataFrame, model: Latent | None, keep: list[str]) -> Dat
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = []
-            for lo, hi, data, offsets in tk.slices(batch.column(len(keep)), 1 << 20):
-                for at in range(0, hi - lo, 512):
-                    o = offsets[at : min(at + 512, hi - lo) + 1]
-                    got.append(shared.value.scores(term_counts(data[o[0] : o[-1]], o - o[0])))
+            got = [shared.value.scores(x) for x in _blocks(batch.column(len(keep)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.clip(np.concatenate(got or [np.zeros(0)]), 0, 1).astype(np.float64))], names=[*keep, "score"])
 
     return rows.mapInArrow(score, schema)
@@ -135,6 +164,6 @@ def score_quality(docs: DataFrame, model: Latent | None, keep: list[str]) -> Dat
 def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labels whose remainder by 5 isn't 0."""
     docs = table(spark, sf_dir, "documents")
-    model = fit(training_rows(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0))
+    model = learn(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
     out = score_quality(docs, model, ["doc_id"])
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
