@@ -1,26 +1,35 @@
 """Benchmark decontamination by templates.
 
 Numbers, names and units become typed placeholders, so a question with other
-values keeps its template. Windows of template tokens are matched by hash against
-the windows of the benchmark items. Where windows of a text and an item line up,
-the values in the slots are compared: a re-parameterised question maps each value
-of the item to one value of the text and back. Where the mapping of all windows
-isn't one to one, the match is dropped, or, with whole, as the queries have it,
-judged by its longest run of windows with such a mapping.
-
-Tokens are words without punctuation, in lower case (ASCII and Latin-1). A
-number starts with a digit; a unit is a listed word after a number; a name is a
-capitalised word (not one in capitals throughout) that doesn't begin a sentence;
-neighbouring names are one. An
-item shorter than the window is one window. Windows without enough plain words
-are left out of the templates. With whole, two more forms are
-matched. In one, every capitalised word is a name, also where it begins a
-sentence, so where sentences begin makes no difference. The other is the words
-themselves, in lower case and without placeholders, so a verbatim copy of any
-item is found in any case, however short it is or full of numbers. Null texts have no tokens; null ids of documents are kept as null;
-repeated rows give repeated matches; repeated or null item ids are items of their
-own rows. The benchmark is a query set: it is read in blocks of bounded size, and
-every block meets every document.
+values keeps its template. Windows of template tokens are hash-joined with the
+windows of the benchmark items. A window's key holds its template and its slot
+pattern - for each slot, how far back in the window the same value stands - so
+equal keys mean that the slot values of one map one to one to those of the other:
+a re-parameterised question matches, a window in which one value became two or
+two became one does not, and takes no other window with it.
+
+A text and an item are matched in three forms, and any of them is enough. In the
+first, a name is a capitalised word (not one in capitals throughout) that doesn't
+begin a sentence; in the second, every capitalised word is one, so where sentences
+begin makes no difference. Windows of these forms need least_plain words that are
+no slots, or as many as they have tokens. The third form is the words themselves
+without placeholders, so a verbatim copy of any item is found in any case, however
+short it is or full of numbers.
+
+Tokens are words without punctuation, in lower case (ASCII and Latin-1). A number
+starts with a digit; a unit is a listed word after a number; neighbouring names
+are one. An item shorter than the window is one window.
+
+Windows of documents first pass a Bloom filter of the benchmark's keys, whose size
+is bounded (FILTER_BYTES); what passes is joined by 128-bit keys, so the filter
+decides nothing but how much is shuffled. No item and no document goes to the
+driver, and the join deals each hot window over SALTS tasks.
+
+Null texts have no tokens; null ids of documents are kept as null; repeated rows
+give repeated matches; repeated or null item ids are items of their own rows; an
+empty table matches nothing. A very long text is read in one piece, in memory in
+proportion to it. Columns of any name may stand beside those used; only those of
+keep are carried. Of equally long matches in several forms the longest counts.
 """
 
 from __future__ import annotations
@@ -31,12 +40,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import table
+from .common import drop_written, table, written
 
-WINDOW, LEAST_PLAIN, BLOCK_BYTES = 10, 6, 16 << 20
+WINDOW, LEAST_PLAIN, SALTS = 10, 6, 8
+FILTER_BYTES, BITS_PER_WINDOW, PROBES = 32 << 20, 32, 4
 UNITS = ["g", "h", "m", "s", "l", "kg", "mg", "km", "cm", "mm", "ml", "ft", "mi", "lb", "oz", "min", "sec", "hr", "mph", "kmh", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "week", "years", "year", "meters", "metres", "miles", "feet", "inches", "pounds", "dollars", "euros", "cents", "percent", "degrees", "liters", "litres", "grams", "kilograms", "kilometers", "kilometres"]
 _SEED = 0x7A3D
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x11, 0x22, 0x33))
@@ -48,7 +59,7 @@ _STOPS = np.isin(_B, [ord(c) for c in ".!?:\n"])
 
 
 class View(NamedTuple):
-    """One form of the texts of a slice: hash of each token, value and whether it is a slot, first token of each text."""
+    """One form of the texts of a slice: hash of each token, its value and whether it is a slot, and the first token of each text."""
 
     token: np.ndarray
     value: np.ndarray
@@ -115,9 +126,9 @@ class Tokens:
             value = np.where(merged, whole, value)
         return View(token[keep], value, slot[keep], kept[first])
 
-    def views(self, whole: bool) -> list[View]:
-        """The template and, if whole, that with sentence openings as names too, and the words as they are but for case."""
-        return [View(self.token, self.value, self.slot, self.first), *([self._template(self.capital), self.words] if whole else [])]
+    def views(self) -> list[View]:
+        """The template, that with sentence openings as names too, and the words as they are but for case."""
+        return [View(self.token, self.value, self.slot, self.first), self._template(self.capital), self.words]
 
 
 _units: list[np.ndarray] = []
@@ -131,168 +142,187 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def _windows(t: View, k: int, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first token and length of each window; with short, a text of less than k tokens is one window."""
-    begin, _ = tk.windows(t.first, k)
-    key = tk.window_hashes(t.token, k)[begin]
-    length = np.full(len(begin), k)
+def _pattern(t: View, n: int) -> np.ndarray:
+    """For each first token of a window of n, a number that tells which of its slots hold equal values; 0 where all differ."""
+    out = np.zeros(len(t.token) + 1, dtype=np.uint64)
+    slots = np.flatnonzero(t.slot)
+    if len(slots) < 2:
+        return out
+    doc = np.searchsorted(t.first, slots, side="right")
+    order = np.lexsort((slots, t.value[slots], doc))
+    at, value, doc = slots[order], t.value[slots][order], doc[order]
+    near = np.flatnonzero((value[1:] == value[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] - at[:-1] < n))
+    second, back = at[near + 1], at[near + 1] - at[near]
+    begin = np.maximum(second - n + 1, 0)
+    times = second - back - begin + 1  # the windows that hold both
+    place = np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    offset = np.repeat(second, times) - place
+    np.add.at(out, place, tk.mix((offset * 64 + np.repeat(back, times)).astype(np.uint64)))
+    return out
+
+
+class Keys(NamedTuple):
+    """Windows of a slice: 128-bit key, first token, number of tokens, text and form."""
+
+    key: np.ndarray
+    second: np.ndarray
+    begin: np.ndarray
+    length: np.ndarray
+    doc: np.ndarray
+    form: np.ndarray
+
+
+class Filter:
+    """A Bloom filter of 64-bit keys in a bit map whose size is a power of two."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    @staticmethod
+    def probe(key: np.ndarray, i: int, size: int) -> np.ndarray:
+        """The i-th bit of each key in a map of size bytes."""
+        return tk.mix(key + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(8 * size - 1)
+
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        """The places of the keys that may be in it."""
+        live = np.arange(len(key))
+        for i in range(PROBES):
+            at = self.probe(key[live], i, len(self.bits))
+            live = live[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        return live
+
+
+def window_keys(t: View, form: int, n: int, least_plain: int, short: bool = False, only: Filter | None = None) -> Keys:
+    """The windows of n tokens with enough plain words; with short, those texts that have n tokens and no more. only: keep those that pass it."""
+    begin, doc = tk.windows(t.first, n)
+    key = tk.window_hashes(t.token, n)[begin]
+    pattern = _pattern(t, n)[begin]
+    key = tk.mix(key ^ tk.mix(pattern + np.uint64(64 * form + n + 1)))
+    some = np.arange(len(key)) if only is None else only.holds(key)
+    plain = np.concatenate([[0], np.cumsum(~t.slot)])
+    some = some[plain[begin[some] + n] - plain[begin[some]] >= min(least_plain, n)]
     if short:
-        counts = np.diff(t.first)
-        for d in np.flatnonzero((counts > 0) & (counts < k)):
-            lo, n = t.first[d], counts[d]
-            key = np.append(key, tk.window_hashes(t.token[lo : lo + n], int(n)))
-            begin, length = np.append(begin, lo), np.append(length, n)
-    return key, begin, length
-
-
-class Index:
-    """One form of the items of a block: its tokens, and their windows sorted by key."""
-
-    def __init__(self, tokens: View, k: int, least_plain: int, whole: bool) -> None:
-        self.tokens, self.whole = tokens, whole
-        key, begin, length = _windows(tokens, k, short=True)
-        plain = np.concatenate([[0], np.cumsum(~tokens.slot)])
-        enough = plain[begin + length] - plain[begin] >= np.minimum(least_plain, length)
-        enough &= length >= min(least_plain, k)
-        order = np.argsort(key[enough], kind="stable")
-        self.key, self.begin, self.length = key[enough][order], begin[enough][order], length[enough][order]
-        self.item = np.searchsorted(tokens.first, self.begin, side="right") - 1
-
-    def matches(self, t: View) -> dict[tuple[int, int], list[int]]:
-        """Tokens matched and windows of each (text, item) that share windows with consistent slots."""
-        found: dict[tuple[int, int], list[int]] = {}
-        if len(self.key) == 0 or len(t.token) == 0:
-            return found
-        hits: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-        for n in np.unique(self.length):
-            begin, doc = tk.windows(t.first, int(n))
-            key = tk.window_hashes(t.token, int(n))[begin]
-            mine = self.key[self.length == n]
-            lo = np.searchsorted(mine, key)
-            at = np.flatnonzero(self.length == n)
-            for w in np.flatnonzero(mine[np.minimum(lo, len(mine) - 1)] == key):
-                for j in at[lo[w] : np.searchsorted(mine, key[w], side="right")]:
-                    p, q = int(begin[w]), int(self.begin[j])
-                    if np.array_equal(t.token[p : p + n], self.tokens.token[q : q + n]):
-                        hits.setdefault((int(doc[w]), int(self.item[j]), p - q), []).append((p, int(n)))
-        for (doc, item, shift), windows in hits.items():
-            covered = np.unique(np.concatenate([np.arange(p, p + n) for p, n in windows]))
-            slots = covered[t.slot[covered]]
-            a, b = t.value[slots], self.tokens.value[slots - shift]
-            pairs = len(np.unique(np.stack([a, b]), axis=1).T)
-            n, w = len(covered), len(windows)
-            if not pairs == len(np.unique(a)) == len(np.unique(b)):
-                if not self.whole:
-                    continue
-                n, w = self._best_run(t, shift, windows)
-            if n:
-                have = found.setdefault((doc, item), [0, 0])
-                have[0], have[1] = max(have[0], n), have[1] + w
-        return found
-
-
-    def _best_run(self, t: View, shift: int, windows: list[tuple[int, int]]) -> tuple[int, int]:
-        """Tokens of the longest run of adjoining windows whose slots map one to one, and how many windows do so for themselves."""
-        spans: list[list[int]] = []
-        for p, n in sorted(windows):
-            if spans and p <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], p + n)
-            else:
-                spans.append([p, p + n])
-        reach = {}  # first token of the consistent run that ends before each token
-        for lo, hi in spans:
-            there, back, left = {}, {}, lo
-            for i in range(lo, hi):
-                if t.slot[i]:
-                    a, b = int(t.value[i]), int(self.tokens.value[i - shift])
-                    for seen, x, y in ((there, a, b), (back, b, a)):
-                        for z, at in seen.setdefault(x, {}).items():
-                            if z != y:
-                                left = max(left, at + 1)
-                        seen[x][y] = i
-                reach[i + 1] = left
-        fit = sum(reach[p + n] <= p for p, n in windows)
-        return (max(end - start for end, start in reach.items()) if fit else 0), fit
-
-
-class Benchmark:
-    """One block of items, in each form that Tokens.views gives."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]], k: int = WINDOW, least_plain: int = LEAST_PLAIN, whole: bool = False) -> None:
-        self.ids, self.whole = [i for i, _ in items], whole
-        _, _, data, offsets = next(tk.slices(pa.array([x for _, x in items], pa.large_string()), 1 << 60))
-        least = [least_plain, least_plain, 1]
-        self.forms = [Index(view, k, n, whole) for view, n in zip(Tokens(data, offsets).views(whole), least, strict=False)]
-
-    def matches(self, t: Tokens) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, tokens matched, windows) for each text and item that match; the most of any form."""
-        found: dict[tuple[int, int], list[int]] = {}
-        for form, view in zip(self.forms, t.views(self.whole), strict=True):
-            for pair, (n, w) in form.matches(view).items():
-                have = found.setdefault(pair, [0, 0])
-                have[0], have[1] = max(have[0], n), max(have[1], w)
-        for (doc, item), (n, w) in found.items():
-            yield doc, item, n, w
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """The items in blocks of about block_bytes of text each, read one after the other."""
-    block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        block.append((row[0], row[1]))
-        size += 4 * len(row[1] or "") + 16
-        if size > block_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, k: int = WINDOW, least_plain: int = LEAST_PLAIN, block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
-    """The columns of keep (doc_id by default), item_id, n_tokens (of the longest match) and n_windows for each row and item that match.
-
-    whole: find all that the queries are to find; without it a match is judged over all its windows at once.
-    """
+        some = some[np.diff(t.first)[doc[some]] == n]
+    second = np.full(len(some), np.uint64(n))
+    for i in range(n):
+        second = tk.mix(second * np.uint64(0xD6E8FEB86659FD93) + t.token[begin[some] + i])
+    second = tk.mix(second ^ tk.mix(pattern[some]))
+    return Keys(key[some], second, begin[some], np.full(len(some), n), doc[some], np.full(len(some), form))
+
+
+def _all(parts: list[Keys]) -> Keys:
+    return Keys(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def text_keys(data: np.ndarray, offsets: np.ndarray, k: int, least_plain: int, lengths: list[int], only: Filter | None = None) -> Keys:
+    """All windows of k tokens, or of one of the lengths, in every form."""
+    views = Tokens(data, offsets).views()
+    return _all([window_keys(v, form, n, 1 if form == 2 else least_plain, only=only) for form, v in enumerate(views) for n in sorted({k, *lengths})])
+
+
+def item_keys(data: np.ndarray, offsets: np.ndarray, k: int, least_plain: int) -> Keys:
+    """The windows of items: of k tokens, or the whole of a shorter item; templates of items that are too short to have enough plain words are left out."""
+    parts = []
+    for form, v in enumerate(Tokens(data, offsets).views()):
+        least = 1 if form == 2 else least_plain
+        parts.append(window_keys(v, form, k, least))
+        for n in sorted(set(np.diff(v.first).tolist()) & set(range(min(least, k) if form < 2 else 1, k))):
+            parts.append(window_keys(v, form, n, least, short=True))
+    return _all(parts)
+
+
+def _item_windows(benchmark: DataFrame, k: int, least_plain: int) -> DataFrame:
+    """item (a number of its own for each row), item_id, form, n, key and key2 of each distinct window of each row."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, data, offsets in tk.slices(batch.column(2)):
+                w = item_keys(data, offsets, k, least_plain)
+                at = pa.array(w.doc + lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(w.form.astype(np.int32)), pa.array(w.length.astype(np.int32)), pa.array(w.key.view(np.int64)), pa.array(w.second.view(np.int64))], names=["item", "item_id", "form", "n", "key", "key2"])
+
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
+    return written(items.mapInArrow(compute, "item long, item_id long, form int, n int, key long, key2 long").distinct(), "benchmark-windows")
+
+
+def _filter(windows: DataFrame, n: int, filter_bytes: int) -> Filter:
+    """The filter of all keys: built in pieces by key, at most filter_bytes in all."""
+    size = min(max(n * BITS_PER_WINDOW // 8, 1 << 10), filter_bytes)
+    size = 1 << (size.bit_length() - 1)
+    piece = min(size, 1 << 20)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            key = np.asarray(batch.column(0)).view(np.uint64)
+            at = np.unique(np.concatenate([Filter.probe(key, i, size) for i in range(PROBES)])).astype(np.int64)
+            for part in np.unique(at // (8 * piece)):
+                got = at[at // (8 * piece) == part] - part * 8 * piece
+                np.bitwise_or.at(bits.setdefault(int(part), np.zeros(piece, np.uint8)), got >> 3, (1 << (got & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64()), pa.array([b.tobytes() for b in bits.values()], pa.binary())], names=["part", "bits"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        whole = np.bitwise_or.reduce(np.stack([np.frombuffer(b.as_py(), np.uint8) for b in t.column("bits")]))
+        return pa.table({"part": t.column("part").slice(0, 1), "bits": pa.array([whole.tobytes()], pa.binary())})
+
+    out = np.zeros(size, np.uint8)
+    parts = windows.select("key").repartition(max(1, n >> 20), "key").mapInArrow(build, "part long, bits binary")
+    for r in parts.groupBy("part").applyInArrow(merge, "part long, bits binary").collect():  # filter_bytes at most
+        out[r.part * piece : (r.part + 1) * piece] = np.frombuffer(r.bits, np.uint8)
+    return Filter(out)
+
+
+def _candidates(rows: DataFrame, windows: DataFrame, k: int, least_plain: int, filter_bytes: int) -> DataFrame:
+    """The columns of rows but for __text, __row, form, n, key, key2 and p of each window that passes the filter of the benchmark's."""
+    n = windows.count()
+    lengths = [r.n for r in windows.where(F.col("n") < k).select("n").distinct().collect()]  # fewer than k
+    shared = rows.sparkSession.sparkContext.broadcast(_filter(windows, n, filter_bytes))  # filter_bytes at most
+    names, kinds = rows.columns[:-1], rows.schema.fields[:-1]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, data, offsets in tk.slices(batch.column(len(names))):
+                w = text_keys(data, offsets, k, least_plain, lengths, shared.value)
+                at = pa.array(w.doc + lo)
+                numbers = [w.form.astype(np.int32), w.length.astype(np.int32), w.key.view(np.int64), w.second.view(np.int64), w.begin]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(names))), *map(pa.array, numbers)], names=[*names, "form", "n", "key", "key2", "p"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "form int, n int, key long, key2 long, p long"])
+    return rows.mapInArrow(search, schema)
+
+
+def _meetings(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """Candidates joined with the items that have their window; a hot window is dealt over SALTS tasks."""
+    on = ["key", "key2", "form", "n"]
+    dealt = found.withColumn("__salt", F.pmod(F.xxhash64("__row", "p"), F.lit(SALTS)).cast("int"))
+    spread = windows.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(spread, [*on, "__salt"])
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, k: int = WINDOW, least_plain: int = LEAST_PLAIN, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """The columns of keep (doc_id by default), item_id, n_tokens (covered by matched windows) and n_windows for each row and item that match."""
     keep = keep or ["doc_id"]
-    spark = docs.sparkSession
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "item_id long, n_tokens long, n_windows long"])
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(Benchmark(block, k, least_plain, whole))  # of bounded size
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = shared.value
-            for batch in batches:
-                for lo, _, data, offsets in tk.slices(batch.column(len(keep))):
-                    got = list(bench.matches(Tokens(data, offsets)))
-                    at = pa.array([lo + d for d, *_ in got], pa.int64())
-                    columns = [batch.column(i).take(at) for i in range(len(keep))]
-                    numbers = [pa.array([bench.ids[i] for _, i, _, _ in got], pa.int64()), pa.array([n for *_, n, _ in got], pa.int64()), pa.array([w for *_, w in got], pa.int64())]
-                    yield pa.RecordBatch.from_arrays([*columns, *numbers], names=[*keep, "item_id", "n_tokens", "n_windows"])
-
-        out = out.unionByName(rows.mapInArrow(search, schema))
-    return out
+    rows = docs.select(F.struct(*keep).alias("__keep"), F.monotonically_increasing_id().alias("__row"), F.col("text").alias("__text"))
+    windows = _item_windows(benchmark, k, least_plain)
+    met = _meetings(_candidates(rows, windows, k, least_plain, filter_bytes), windows)
+    of = ["__row", "item", "form"]
+    fresh = F.least("n", F.coalesce(F.col("p") - F.lag("p").over(W.partitionBy(*of).orderBy("p")), "n"))
+    forms = met.withColumn("__new", fresh).groupBy(*of).agg(F.first("__keep").alias("__keep"), F.first("item_id").alias("item_id"), F.sum("__new").alias("t"), F.count("*").alias("w"))
+    out = forms.groupBy("__row", "item").agg(F.first("__keep").alias("__keep"), F.first("item_id").alias("item_id"), F.max("t").cast("long").alias("n_tokens"), F.max("w").alias("n_windows"))
+    return out.select("__keep.*", "item_id", "n_tokens", "n_windows")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, least_plain: int = LEAST_PLAIN, block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, least_plain: int = LEAST_PLAIN, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """The rows of docs that match no item, with the columns of docs."""
-    spark, names, at = docs.sparkSession, docs.columns, docs.columns.index("text")
-    out = docs
-    for block in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(Benchmark(block, k, least_plain, whole))  # of bounded size
-
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = np.ones(batch.num_rows, dtype=bool)
-                for lo, _, data, offsets in tk.slices(batch.column(at)):
-                    ok[[lo + d for d, *_ in shared.value.matches(Tokens(data, offsets))]] = False
-                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok)).columns, names=names)
-
-        out = out.mapInArrow(clean, docs.schema)
-    return out
+    keys = {"__k1": F.xxhash64("doc_id", "text"), "__k2": F.xxhash64("text", "doc_id", F.lit(1))}  # rows of one id and text match alike
+    rows = docs.select(F.struct(*docs.columns).alias("__all"), "doc_id", "text").withColumns(keys)
+    windows = _item_windows(benchmark, k, least_plain)
+    found = _candidates(rows.select("__k1", "__k2", F.monotonically_increasing_id().alias("__row"), "text"), windows, k, least_plain, filter_bytes)
+    leaked = written(_meetings(found, windows).select("__k1", "__k2").distinct(), "leaked")
+    drop_written(windows)
+    return rows.join(leaked, ["__k1", "__k2"], "left_anti").select("__all.*")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that repeats a benchmark item, with the item."""
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True)
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

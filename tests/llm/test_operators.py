@@ -1,4 +1,4 @@
-import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from arborix.llm import decontaminate, language_id, mixing, near_sets, pii, quality_knn, quality_rules, queries, sharding, simhash, substring_dedup, url_filter
+from arborix.llm import common, language_id, mixing, near_sets, pii, quality_knn, quality_rules, queries, samples, sharding, simhash, substring_dedup, url_filter
 from arborix.llm import textkernel as tk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -154,7 +154,7 @@ def test_op6(spark, texts):
         at = sorted(r["__position"] for r in got if (r["__source"], r["__epoch"]) == key)
         assert at == list(range(len(at)))
     assert mixing.mix(docs(spark, []), ["doc_id"]).count() == 0
-    assert total
+
 
 
 def test_op6_entropy(spark):
@@ -266,61 +266,6 @@ def test_op8_learns_a_threshold():
     assert quality_rules.learn([]) == []
 
 
-def test_op9(spark):
-    bench = spark.createDataFrame([(1, "In the shop Tom buys 5 apples and gives 2 kg to Ann before Tom walks home alone again"), (2, None), (3, "too short")], "item_id long, text string")
-    rows = [
-        (1, "So it goes. In the shop Bob buys 7 apples and gives 3 kg to Eve before Bob walks home alone again. End"),
-        (2, "So it goes. In the shop Bob buys 7 apples and gives 3 kg to Eve before Max walks home alone again. End"),
-        (3, "SO IT GOES IN THE SHOP TOM BUYS 5 APPLES AND GIVES 2 KG TO ANN BEFORE TOM WALKS HOME ALONE AGAIN"),
-        (4, None),
-        (5, ""),
-        (6, "too short a text about apples"),
-    ]
-    d = docs(spark, rows)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(d, bench).collect()} == {(1, 1)}
-    exact = docs(spark, [(7, "x y z in the shop Tom buys 5 apples and gives 2 kg to Ann before Tom walks home alone again x"), (7, "clean")])
-    assert decontaminate.without_leaks(exact, bench).select("text", "shard").collect() == [("clean", 1)]
-    assert decontaminate.find_leaks(d, bench, block_bytes=1).count() == 1
-    assert decontaminate.find_leaks(docs(spark, []), bench).count() == decontaminate.find_leaks(d, bench.limit(0)).count() == 0
-
-
-def leaks(item, text):
-    """(tokens, windows) of the match as the queries find it, or None."""
-    _, _, data, offsets = next(tk.slices(pa.array([text], pa.large_string())))
-    got = list(decontaminate.Benchmark([(1, item)], whole=True).matches(decontaminate.Tokens(data, offsets)))
-    return got[0][2:] if got else None
-
-
-def test_op9_one_conflicting_slot_drops_no_other_window(spark, tmp_path):
-    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(50)]
-    item = " ".join([*words[:20], "7", *words[20:40], "7", *words[40:]])
-    assert leaks(item, item)[0] == 52
-    assert leaks(item, item.replace("7", "8", 1))[0] >= 41
-    merged = " ".join([*words[:20], "5", *words[20:40], "7", *words[40:]])
-    assert leaks(merged, merged.replace("5", "6").replace("7", "6"))[0] >= 41
-    assert leaks("one two three 5 four five six seven 7 eight", "one two three 6 four five six seven 6 eight") is None
-    spark.createDataFrame([(1, item.replace("7", "8", 1)), (2, "clean")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert [(r.doc_id, r.item_id) for r in decontaminate.op9_decontaminate(spark, str(tmp_path)).collect()] == [(1, 1)]
-
-
-@pytest.mark.parametrize("item, bare", [("What is 12 + 7 * 3 - 4 / 2?", "What is 13 + 8 * 4 - 5 / 3?"), ("Name the largest moon", "Name the largest lake"), ("Convert 5 km 3 m 20 cm to mm", "Convert 6 km 2 m 30 cm to mm"), ("List Oslo Bern Rome Paris Kyiv Riga 1 2 3 4 5 6 7 8 9", "List Bonn Bern Rome Paris Kyiv Riga 2 3 4 5 6 7 8 9 1")])
-def test_op9_finds_copies_of_items_with_few_plain_words(item, bare):
-    assert leaks(item, f"some text before it. {item} and after") is not None
-    assert leaks(item, f"some text before it. {bare} and after") is None
-    assert leaks(item, "other text") is leaks("", item) is leaks(item, "") is None
-
-
-def test_op9_names_by_case_and_place():
-    item = "In the shop Tom buys 5 apples and gives 2 kg to Ann before Tom walks home alone again"
-    assert leaks(item, item.upper()) and leaks(item, f"so it goes {item.lower()}") and leaks(item, item.title())
-    assert leaks("The shop sells 5 red apples for each day", "Question The shop sells 5 red apples for each day")
-    opened = "Tom carries 5 red apples down into the old kitchen"
-    assert leaks(opened, "It is late. Bob carries 7 red apples down into the old kitchen")
-    assert leaks(opened, "And then Bob carries 7 red apples down into the old kitchen")
-    assert leaks(opened, "It is late. Bob carries 7 green apples down into the old kitchen") is None
-
-
 def test_op10(spark):
     rng = np.random.default_rng(6)
     good = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(40))
@@ -346,7 +291,7 @@ def test_pipeline_on_a_fixture(spark, tmp_path):
     assert {r.doc_id for r in out} == set(range(30))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "decontaminate", "mix_sources", "shard"]
     assert max(Counter(r.shard for r in out).values()) - min(Counter(r.shard for r in out).values()) <= 1
-    assert hashlib.sha256(b"").hexdigest()
+
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -364,3 +309,114 @@ def test_queries_agree_with_their_sql(spark, texts, tmp_path, name):
     at = [[c[0] for c in found.description].index(c) for c in got.columns]
     want = Counter(tuple(row[i] for i in at) for row in found.fetchall())
     assert Counter(map(tuple, got.collect())) == want
+
+
+def test_op10_scores_depend_on_the_text_alone(spark):
+    """Equal alone, in another order and in batches of one, and equal to plain loops over all cosines."""
+    rng = np.random.default_rng(9)
+    make = lambda: " ".join("".join(rng.choice(list("abcdeFG1$."), rng.integers(1, 8))) for _ in range(rng.integers(1, 30)))
+    rows = [(i, make()) for i in range(60)]
+    labelled = [(make(), int(rng.integers(0, 2))) for _ in range(40)]
+    labelled += labelled[:6]  # ties
+    model = quality_knn.fit(labelled)
+
+    def scored(order, batch):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            return {r.doc_id: r.score for r in quality_knn.score_quality(docs(spark, [rows[i] for i in order]).coalesce(1), model, ["doc_id"]).collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+
+    got = scored(range(60), 10000)
+    assert got == scored(range(59, -1, -1), 10000) == scored(rng.permutation(60), 1)
+    one = lambda t: next(quality_knn._blocks(pa.array([t], pa.large_string())))[0]
+    space = [model.basis.T @ (one(t) * model.idf - model.mean) for t, _ in labelled]
+    for i, t in rows:
+        v = model.basis.T @ (one(t) * model.idf - model.mean)
+        near = sorted((round(float(v @ u / np.linalg.norm(v) / np.linalg.norm(u)), 9), y) for u, (_, y) in zip(space, labelled, strict=True))[::-1]
+        last = near[14][0]
+        above, level = [x for x in near if x[0] > last], [x for x in near if x[0] == last]
+        pairs = [(max(c, 1e-3) ** 8, y) for c, y in above] + [(max(c, 1e-3) ** 8 * (15 - len(above)) / len(level), y) for c, y in level]
+        assert abs(sum(w * y for w, y in pairs) / sum(w for w, _ in pairs) - got[i]) < 1e-6
+
+
+def test_op10_held_out(spark):
+    """Accuracy on labelled rows that training didn't see, on the tables at hand."""
+    sf = "/root/testdata/sf0.01"
+    got = quality_knn.op10_quality_knn(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and quality is not null").collect()
+    assert len(got) > 40 and sum(r.predicted == r.quality for r in got) >= 0.95 * len(got)
+
+
+def test_op4_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = language_id.op4_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 100 and sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got)
+
+
+def test_op4_forward_and_gradient_agree_with_plain_python():
+    rng = np.random.default_rng(15)
+    net = language_id.ByteCnn(["a", "b", "c"])
+    for p in net.parameters():
+        p += rng.normal(0, 0.1, p.shape).astype(np.float32)
+    x, y = rng.integers(0, language_id.CLASSES, (4, 12)), np.array([0, 2, 1, 2])
+
+    def loss():
+        total = 0.0
+        for row, label in zip(x, y, strict=True):
+            pooled = []
+            for f, b, w in zip(net.filters, net.bias, language_id.WIDTHS, strict=True):
+                for k in range(f.shape[1]):
+                    pooled.append(max(0.0, max(sum(float(net.embed[row[i + j]] @ f[j * language_id.EMBED : (j + 1) * language_id.EMBED, k]) for j in range(w)) for i in range(len(row) - w + 1)) + float(b[k])))
+            z = [sum(p * float(o) for p, o in zip(pooled, net.out[:, c], strict=True)) + float(net.out_bias[c]) for c in range(3)]
+            e = [math.exp(v - max(z)) for v in z]
+            probs.append([v / sum(e) for v in e])
+            total -= math.log(probs[-1][label]) / len(y)
+        return total
+
+    probs = []
+    loss()
+    assert np.allclose(net.probabilities(x), probs, atol=1e-5)
+    for p, g in zip(net.parameters(), net._gradient(x, y), strict=True):
+        at = tuple(np.unravel_index(np.abs(g).argmax(), g.shape))
+        before = p[at]
+        p[at] = before + 1e-2
+        up = loss()
+        p[at] = before - 1e-2
+        down = loss()
+        p[at] = before
+        assert abs((up - down) / 2e-2 - g[at]) < 0.05 * abs(g[at]) + 1e-3
+
+
+def test_samples_survive_null_and_repeated_ids(spark):
+    rows = [(None if i % 10 == 0 else i, f"t{i}") for i in range(5000)] + [(7, f"u{i}") for i in range(3000)] + [(8, "same")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = samples.sampled(df, 1000, "doc_id", "text").collect()
+    assert len(got) == 1000
+    assert 20 < sum(r.doc_id is None for r in got) < 80 and 150 < sum(r.text[0] == "u" for r in got) < 400
+    again = samples.sampled(df.repartition(7), 1000, "doc_id", "text").collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    assert samples.sampled(df, 100_000, "doc_id").count() == len(rows)
+    assert samples.sampled(spark.createDataFrame([(1, "x")] * 500, "doc_id long, text string"), 100, "doc_id", "text").count() == 100
+    assert samples.bounded(df.limit(0), 10, "doc_id") == []
+
+
+def test_the_shared_folder_is_asked_for(spark):
+    class Elsewhere:
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _Conf:
+                def get(self, *_):
+                    return None
+
+            getConf = classmethod(lambda cls: cls._Conf())
+
+        conf = sparkContext._Conf()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Elsewhere)
+    kept = common.written(spark.range(5), "kept")
+    assert kept.count() == 5
+    common.drop_written(kept)
+    fs, at = common._at(spark, kept._arborix_path)
+    assert not fs.exists(at)
