@@ -3,15 +3,21 @@
 The fingerprints form a binary trie. Pairs of its nodes are walked together from
 the root; each level adds the bits in which the two paths differ, and a pair is
 dropped as soon as that exceeds the budget. To spread the walk over a cluster,
-the trie is built for budget + 1 rotations of the bits: among that many parts of
-a fingerprint, two fingerprints within the budget agree on at least one, so in
-one rotation their paths share the top levels and meet below the same subtrie.
-A subtrie is one key; one that holds too many fingerprints is cut into blocks and
-each pair of blocks is its own key. Within a key only a spanning forest of the
-links is kept.
+the bits are cut into budget + 2 parts: two fingerprints within the budget agree
+on two parts at least, so for each pair of parts a trie is built whose paths begin
+with these, and the two meet below the same subtrie of one of them. With a budget
+of 4 a subtrie's key has 21 bits or more, so subtries stay small as the input
+grows; one that holds too many fingerprints is cut into blocks, and each pair of
+blocks is its own key. Keys reach a task in order and are walked as they come, so
+a task holds some keys and not a whole partition. Within a key only a spanning
+forest of the links is kept.
 
 Null texts have no words; texts without words have fingerprint zero; equal
-fingerprints are one node, so copies are never paired with each other.
+fingerprints are one node, so copies are never paired with each other and repeated
+rows only repeat in the result. An empty table gives no rows. Of equal least ids
+any is the same id. A very long text is hashed in one piece, in memory in
+proportion to it. Columns other than doc_id and text are not read. A fingerprint
+or a component that a third of all rows share is joined by broadcast (split_join).
 """
 
 from __future__ import annotations
@@ -24,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import table, written
+from .common import split_join, table, written
 from .components import components
 
-LEAF_PAIRS, FRONTIER = 16, 1 << 16
+LEAF_PAIRS, FRONTIER, HELD, PARTITION_ROWS = 16, 1 << 16, 1 << 17, 1 << 21
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -125,41 +131,56 @@ class Forest:
                 self.root = up
 
 
-def _rotations(budget: int) -> list[tuple[int, int]]:
-    """For each of budget + 1 parts of the 64 bits: how far to rotate it to the top, and its width."""
-    cuts = [round(64 * i / (budget + 1)) for i in range(budget + 2)]
+def _parts(budget: int) -> list[tuple[int, int]]:
+    """The 64 bits in budget + 2 parts: lowest bit and width of each."""
+    cuts = [round(64 * i / (budget + 2)) for i in range(budget + 3)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _turned(fp: np.ndarray, kind: np.ndarray, parts: list[tuple[int, int]], pairs: list[tuple[int, int]]) -> np.ndarray:
+    """Each fingerprint with the bits of its kind's two parts moved to the top; distances stay."""
+    out = np.zeros_like(fp)
+    for k in np.unique(kind):
+        mine = np.flatnonzero(kind == k)
+        v = fp[mine]
+        order = [*pairs[k], *(i for i in range(len(parts)) if i not in pairs[k])]
+        value = np.zeros_like(v)
+        for i in order:
+            low, width = parts[i]
+            value = (value << np.uint64(width)) | ((v >> np.uint64(low)) & np.uint64((1 << width) - 1))
+        out[mine] = value
+    return out
+
+
 def near_links(fps: DataFrame, budget: int = 4, block: int = 1 << 16) -> DataFrame:
     """(a, b): links between distinct fingerprints of column fp within the budget, as a spanning forest of each subtrie.
 
     block: fingerprints of one subtrie that meet in one task; larger subtries are cut into such blocks and all pairs of blocks are walked.
     """
     spark = fps.sparkSession
-    parts = _rotations(budget)
-    rotated = [F.shiftleft("fp", a).bitwiseOR(F.shiftrightunsigned("fp", 64 - a)) if a else F.col("fp") for a, _ in parts]
-    tops = [F.shiftrightunsigned(v, 64 - w).bitwiseOR(F.lit(i << 48)) for i, (v, (_, w)) in enumerate(zip(rotated, parts, strict=True))]
+    parts = _parts(budget)
+    pairs = [(i, j) for i in range(len(parts)) for j in range(i)]
+    bits = lambda i: F.shiftrightunsigned("fp", parts[i][0]).bitwiseAND((1 << parts[i][1]) - 1)
+    tops = [F.shiftleft(bits(i), parts[j][1]).bitwiseOR(bits(j)).bitwiseOR(F.lit(k << 48)) for k, (i, j) in enumerate(pairs)]
     keyed = fps.select("fp", F.explode(F.array(*tops)).alias("top"))
-    # budget + 1 rotations of at most 2 ** width tops: a bounded table, whatever the input
-    large = F.broadcast(keyed.groupBy("top").count().where(F.col("count") > block).select("top", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    cut = keyed.join(large, "top", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    n = fps.count()
+    if n > block:
+        # at most n / block rows a kind
+        large = F.broadcast(keyed.groupBy("top").count().where(F.col("count") > block).select("top", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+        cut = keyed.join(large, "top", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    else:
+        cut = keyed.withColumn("blocks", F.lit(1))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = cut.select("fp", "top", mine.alias("mine"), meets)
     dealt = dealt.select("fp", "top", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("second"))
-    spread = dealt.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "top", "x", "y")
-    widths = parts
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(pairs) * n // PARTITION_ROWS, 1)
+    spread = dealt.repartition(tasks, "top", "x", "y").sortWithinPartitions("top", "x", "y")
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        fp, top, x, y, second = (np.asarray(t.column(c).combine_chunks().to_numpy(zero_copy_only=False)) for c in ("fp", "top", "x", "y", "second"))
+    def link(t: pa.Table) -> pa.RecordBatch:
+        fp, top, x, y, second = (t.column(c).to_numpy() for c in ("fp", "top", "x", "y", "second"))
         fp = fp.view(np.uint64)
-        turn = np.array([a for a, _ in widths], dtype=np.uint64)[(top >> 48).astype(np.int64)]
-        value = np.where(turn == 0, fp, (fp << turn) | (fp >> ((np.uint64(64) - turn) & np.uint64(63))))
+        value = _turned(fp, top >> 48, parts, pairs)
         order = np.lexsort((value, second, y, x, top))
         fp, top, x, y, second, value = (v[order] for v in (fp, top, x, y, second, value))
         new = np.ones(len(fp), dtype=bool)
@@ -174,16 +195,35 @@ def near_links(fps: DataFrame, budget: int = 4, block: int = 1 << 16) -> DataFra
         for i, j in trie_links(value, [r[some] for r in roots], budget):
             forest.add(i, j)
         moved = np.flatnonzero(forest.root != np.arange(len(fp)))
-        yield pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[forest.root[moved]].view(np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[forest.root[moved]].view(np.int64))], names=["a", "b"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_keys(batches, ["top", "x", "y"], HELD):
+            yield link(group)
 
     return spread.mapInArrow(walk, "a long, b long")
 
 
-def _roots(fps: DataFrame, budget: int) -> DataFrame:
-    """fp and root (least fingerprint of its component) of each distinct fingerprint."""
-    nodes = written(fps.select("fp").distinct(), "fp-nodes")
-    roots = components(near_links(nodes, budget))
-    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+def whole_keys(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Sorted batches as tables of about `rows` rows, cut only between keys: what is held at once is that and the largest key."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(held)
+        new = np.zeros(n, dtype=bool)
+        for k in keys:
+            v = t.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        if (cut := int(np.flatnonzero(new)[-1]) if new.any() else 0):
+            yield t.slice(0, cut).combine_chunks()
+            held = t.slice(cut).to_batches()
+            n -= cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
@@ -192,9 +232,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataF
     A null doc_id never is a component_id unless the component has no other; repeated rows are kept.
     """
     fps = written(fingerprints(docs, shingle), "fp")
-    linked = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(_roots(fps, budget), "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(linked.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fp-nodes")
+    roots = components(near_links(nodes.select("fp"), budget)).withColumnRenamed("node", "fp")
+    linked = written(nodes.join(roots, "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "fp-roots")
+    size = linked.agg(F.count("*").alias("fps"), F.sum("n").alias("rows")).first()
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    placed = written(split_join(linked.select("fp", "n", "root"), least, "root", "members", size.fps).select("fp", "n", "component_id"), "fp-components")
+    return split_join(fps, placed, "fp", "n", size.rows or 0)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
