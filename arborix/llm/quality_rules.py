@@ -8,8 +8,12 @@ the rows that it covers go, and the next rule follows. The list is an ordered
 conditional expression over integer columns.
 
 A null text counts as empty, which the base rule rejects; a null id matches no
-label; repeated rows are judged alike; without labels the list is empty and the
-base rule alone decides. Windows of words are compared by 64-bit hash within one text.
+label; repeated rows are judged alike; an empty table gives no rows; without labels
+the list is empty and the base rule alone decides. Ids whose labels disagree count
+as bad; of equally good conditions the first in the order of FEATURES is taken.
+Windows of words are compared by 64-bit hash within one text; a very long text is
+one row, in memory in proportion to it. Columns other than those of keep and the
+text are not read; a name of keep must not start with __ unless it is __row.
 """
 
 from __future__ import annotations
@@ -153,15 +157,16 @@ def learn(rows: list[dict], precision: float = 0.9, most_conditions: int = 3, le
     return rules
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> list[dict]:
-    """Statistics of at most max_labelled labelled rows that pass the base rule; ids are chosen by their hash."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__quality"))
+def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, learnable: Column | None = None) -> list[dict]:
+    """Statistics of at most max_labelled labelled rows that pass the base rule, however often an id repeats; chosen and ordered by hash."""
+    fit = F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()
+    known = labels.where(fit if learnable is None else fit & learnable).groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     chosen = sampled(known, max_labelled, "doc_id")  # at most max_labelled rows of 12 bytes: bounded, so it may be broadcast
-    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    stats = statistics(some, ["doc_id", "__quality"])
-    got = stats.select("doc_id", (1 - F.col("__quality")).alias("bad"), *FEATURES, base_failed().alias("failed")).collect()
+    some = sampled(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), max_labelled, "doc_id", "text")
+    stats = statistics(some.select(F.xxhash64("doc_id", "text").alias("__order"), "__quality", "text"), ["__order", "__quality"])
+    got = stats.select("__order", (1 - F.col("__quality")).alias("bad"), *FEATURES, base_failed().alias("failed")).collect()
     rows = [r.asDict() for r in got if not r.failed]
-    return sorted(rows, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 & (2**64 - 1), *(r[f] for f in FEATURES)))
+    return sorted(rows, key=lambda r: (r["__order"], r["bad"], *(r[f] for f in FEATURES)))
 
 
 def expression(rules: list[Rule]) -> Column:
@@ -176,7 +181,8 @@ def expression(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     """statistics() with base_failed, rule (of the list, else null) and kept."""
     t = statistics(docs, keep).withColumn("base_failed", base_failed()).withColumn("rule", F.when(~F.col("base_failed"), expression(rules)))
-    return t.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    # the number of the row is never negative: it only keeps a filter by kept from computing each statistic anew
+    return t.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull() & (F.col("__barrier") >= 0)).drop("__barrier")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
