@@ -16,9 +16,12 @@ also starts earlier (smaller doc_id; then earlier in the text) is removed.
    stands in a third of all texts sends one entry a chunk, not one a text.
 4. Each chunk removes the words.
 
-A null text has no words. Null ids come before all others; rows with the same id
-are ordered by chunk, then by text. Repeated rows count as copies: one stays.
-Memory of a task is in proportion to a chunk, so to the longest text at least.
+Windows are the same where two independent 64-bit hashes are, within a chunk as
+across chunks. A null text has no words; an empty table gives no rows. Null ids come
+before all others; rows with the same id are ordered by the hash of their text.
+Repeated rows count as copies, and so do ties: one stays. A chunk holds CHUNK_ROWS
+texts of less than LONG_BYTES; of each doubling beyond, half as many, so at most 32 MB
+or one text. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,9 +37,8 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .common import table
 
-CELLS_PER_WINDOW, STRETCH_BITS, CHUNK_ROWS = 8, 22, 2048
+CELLS_PER_WINDOW, STRETCH_BITS, CHUNK_ROWS, LONG_BYTES, TASK_BYTES = 8, 22, 2048, 1 << 14, 64 << 20
 SEED_A, SEED_B = 0x51ED270B, 0x3C6EF372
-NULL_ID = -(2**63)
 
 
 def pack_sorted(v: np.ndarray, universe_bits: int) -> bytes:
@@ -147,24 +149,26 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "docs"])
 
 
-def _unpack(t: pa.Table) -> tuple[np.ndarray, pa.Array]:
-    """Ids and texts of a chunk, in the order in which they count."""
+def _unpack(t: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """Ids of a chunk, their places in the order of all ids as pairs (not null, id), and its texts, in the order in which they count."""
     got = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in t.column("docs")])
-    texts = got.column("text").combine_chunks()
-    ids = np.asarray(got.column("doc_id").combine_chunks().fill_null(NULL_ID))
-    if len(np.unique(ids)) < len(ids):
+    texts = pa.concat_arrays([c.cast(pa.large_string()) for c in got.column("text").chunks])
+    ids = got.column("doc_id").combine_chunks()
+    rank = np.stack([np.asarray(ids.is_valid()).astype(np.int64), np.asarray(ids.fill_null(0))])
+    if len(np.unique(rank, axis=1).T) < len(ids):
         digest = np.array([hashlib.blake2b((x.as_py() or "").encode(), digest_size=8).digest() for x in texts])
-        order = np.lexsort((digest, ids))
+        order = np.lexsort((digest, rank[1], rank[0]))
     else:
-        order = np.argsort(ids)
-    return ids[order], texts.take(pa.array(order))
+        order = np.lexsort((rank[1], rank[0]))
+    at = pa.array(order)
+    return ids.take(at), rank[:, order], texts.take(at)
 
 
-def _firsts(h: np.ndarray) -> np.ndarray:
-    """For each entry, whether no equal one stands before it."""
-    order = np.argsort(h, kind="stable")
+def _firsts(h: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """For each entry of two hashes, whether no equal one stands before it."""
+    order = np.lexsort((second, h))
     first = np.ones(len(h), dtype=bool)
-    first[order[1:]] = h[order[1:]] != h[order[:-1]]
+    first[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
     return first
 
 
@@ -177,7 +181,7 @@ def _candidates(docs: pa.Table, hot: pa.Table, k: int, bits: int, parts: int) ->
     for row in (0, 1):
         got = [unpack_sorted(c.as_buffer()) + np.uint64(b.as_py()) for r, b, c in zip(hot.column("row"), hot.column("base"), hot.column("cells"), strict=True) if r.as_py() == row]
         cells[row] = np.sort(np.concatenate(got)) if got else cells[row]
-    ids, texts = _unpack(docs)
+    _, rank, texts = _unpack(docs)
     found = []
     for lo, _, data, offsets in tk.slices(texts):
         *_, doc, h = _keys(data, offsets, k, SEED_A)
@@ -185,15 +189,15 @@ def _candidates(docs: pa.Table, hot: pa.Table, k: int, bits: int, parts: int) ->
         for row in (0, 1):
             keep[keep] = _within(_cells(h[keep], row, bits), cells[row])
         second = _keys(data, offsets, k, SEED_B)[-1][keep]
-        found.append((h[keep], second, ids[lo + doc[keep]].view(np.uint64)))
-    h, second, own = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.append((h[keep], second, *rank[:, lo + doc[keep]].view(np.uint64)))
+    h, second, real, own = (np.concatenate(x) for x in zip(*found, strict=True))
     if len(h) == 0:
         return none
-    first = _firsts(h)
-    order = np.flatnonzero(first)[np.argsort(h[first])]
+    first = _firsts(h, second)
+    order = np.flatnonzero(first)[np.argsort(h[first], kind="stable")]
     part = ((h[order] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     runs, chunk = _runs(part), docs.column("chunk")[0].as_py()
-    blobs = [np.int64(b - a).tobytes() + pa.compress(np.concatenate([x[order[a:b]] for x in (h, second, own)]).tobytes(), codec="zstd", asbytes=True) for a, b in runs]
+    blobs = [np.int64(b - a).tobytes() + pa.compress(np.concatenate([x[order[a:b]] for x in (h, second, real, own)]).tobytes(), codec="zstd", asbytes=True) for a, b in runs]
     return pa.table({"part": pa.array([int(part[a]) for a, _ in runs], pa.int32()), "chunk": pa.array([chunk] * len(runs), pa.int64()), "keys": pa.array(blobs, pa.binary())})
 
 
@@ -210,18 +214,18 @@ def _losers(t: pa.Table) -> pa.Table:
     for blob, chunk in zip(t.column("keys"), t.column("chunk").to_pylist(), strict=True):
         raw = blob.as_py()
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        v = np.frombuffer(pa.decompress(raw[8:], 24 * n, codec="zstd", asbytes=True), np.uint64).reshape(3, n)
-        parts.append((v[0], v[1], v[2].view(np.int64), np.full(n, chunk)))
-    h, second, own, chunk = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((chunk, own, second, h))
+        v = np.frombuffer(pa.decompress(raw[8:], 32 * n, codec="zstd", asbytes=True), np.uint64).reshape(4, n)
+        parts.append((v[0], v[1], v[2], v[3].view(np.int64), np.full(n, chunk)))
+    h, second, real, own, chunk = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((chunk, own, real, second, h))
     h, second, chunk = h[order], second[order], chunk[order]
     lost = np.zeros(len(h), dtype=bool)
     lost[1:] = (h[1:] == h[:-1]) & (second[1:] == second[:-1])
-    h, chunk = h[lost], chunk[lost]
+    keys, chunk = np.stack([h[lost], second[lost]], axis=1), chunk[lost]
     order = np.argsort(chunk, kind="stable")
-    h, chunk = h[order], chunk[order]
+    keys, chunk = keys[order], chunk[order]
     runs = _runs(chunk)
-    return pa.table({"chunk": pa.array([int(chunk[a]) for a, _ in runs], pa.int64()), "keys": pa.array([h[a:b].tobytes() for a, b in runs], pa.binary())})
+    return pa.table({"chunk": pa.array([int(chunk[a]) for a, _ in runs], pa.int64()), "keys": pa.array([keys[a:b].tobytes() for a, b in runs], pa.binary())})
 
 
 def _kept(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, keep: np.ndarray) -> pa.Array:
@@ -244,13 +248,15 @@ def _kept(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndar
 def _remove(docs: pa.Table, lost: pa.Table, k: int) -> pa.Table:
     if docs.num_rows == 0:
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string())})
-    keys = np.sort(np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in lost.column("keys")])) if lost.num_rows else np.zeros(0, np.uint64)
-    ids, texts = _unpack(docs)
-    pieces = [(*_keys(data, offsets, k, SEED_A), data) for _, _, data, offsets in tk.slices(texts)]
-    h = np.concatenate([p[5] for p in pieces])
-    repeated = ~_firsts(h) | _within(h, keys)
+    lists = [np.frombuffer(b.as_py(), np.uint64).reshape(-1, 2) for b in lost.column("keys")]
+    keys = np.concatenate([np.zeros((0, 2), np.uint64), *lists])
+    ids, _, texts = _unpack(docs)
+    pieces = [(*_keys(data, offsets, k, SEED_A), _keys(data, offsets, k, SEED_B)[-1], data) for _, _, data, offsets in tk.slices(texts)]
+    h, second = (np.concatenate([p[i] for p in pieces]) for i in (5, 6))
+    # the lost keys stand before the windows, so a window of such a key isn't a first
+    repeated = ~_firsts(np.concatenate([keys[:, 0], h]), np.concatenate([keys[:, 1], second]))[len(keys) :]
     at, n_words, n_removed, kept = 0, [], [], []
-    for starts, ends, first, begin, _, own, data in pieces:
+    for starts, ends, first, begin, _, own, _, data in pieces:
         hit = begin[repeated[at : at + len(own)]]
         at += len(own)
         cover = np.zeros(len(starts) + 1, dtype=np.int64)
@@ -261,12 +267,19 @@ def _remove(docs: pa.Table, lost: pa.Table, k: int) -> pa.Table:
         gone = np.concatenate([[0], np.cumsum(~keep)])
         n_removed.append(gone[first[1:]] - gone[first[:-1]])
         kept.append(_kept(data, starts, ends, first, keep))
-    return pa.table({"doc_id": pa.array(ids, mask=ids == NULL_ID), "n_words": pa.array(np.concatenate(n_words).astype(np.int64)), "n_removed": pa.array(np.concatenate(n_removed).astype(np.int64)), "kept_text": pa.concat_arrays(kept)})
+    return pa.table({"doc_id": ids, "n_words": pa.array(np.concatenate(n_words).astype(np.int64)), "n_removed": pa.array(np.concatenate(n_removed).astype(np.int64)), "kept_text": pa.concat_arrays(kept)})
+
+
+def _by_length(place: Column, rows: int = CHUNK_ROWS) -> list[Column]:
+    """What names a chunk, of texts by their place: texts of LONG_BYTES and more lie apart, by doublings of their length, so many fewer in a chunk."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    doublings = F.when(size < LONG_BYTES, 0).otherwise(F.floor(F.log2(size / LONG_BYTES)).cast("int") + 1)
+    return [doublings, F.floor(place / F.greatest(F.lit(1), F.floor(F.lit(rows) / F.pow(F.lit(2.0), doublings))))]
 
 
 def file_chunks(rows: int = CHUNK_ROWS) -> Column:
-    """A chunk of about rows rows, by their place in the files of a scan."""
-    return F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows))
+    """A chunk of at most about rows rows and rows * LONG_BYTES bytes, or of one text, by their place in the files of a scan."""
+    return F.xxhash64(F.col("_metadata.file_path"), *_by_length(F.col("_metadata.row_index"), rows))
 
 
 def dedup_substrings(docs: DataFrame, k: int = 20, chunk: Column | None = None) -> DataFrame:
@@ -278,14 +291,17 @@ def dedup_substrings(docs: DataFrame, k: int = 20, chunk: Column | None = None)
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     bits = max(10, ((size.b or 0) * CELLS_PER_WINDOW // 6).bit_length())
     parts = 1 << max(0, bits - STRETCH_BITS)
+    # a third of TASK_BYTES goes by the sketch, the rest is texts: tasks stay as large while the input grows
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size.b or 0) // TASK_BYTES, 1)
     if chunk is None:
-        chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(size.n // CHUNK_ROWS + 1))
+        h = F.xxhash64("doc_id", "text")
+        chunk = F.xxhash64(*_by_length(F.pmod(h, F.lit(max(size.n, 1)))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", chunk.cast("long").alias("chunk"))
     lists = rows.select("text", "chunk").mapInArrow(lambda it: _sketch(it, k, bits), "row int, part int, chunk long, cells binary")
     hot = lists.groupBy("row", "part").applyInArrow(lambda t: _merge(t, bits), "chunk long, row int, base long, cells binary")
-    packed = rows.mapInArrow(_pack, "chunk long, docs binary")
-    found = packed.groupBy("chunk").cogroup(hot.groupBy("chunk")).applyInArrow(lambda a, b: _candidates(a, b, k, bits, parts), "part int, chunk long, keys binary")
-    lost = found.groupBy("part").applyInArrow(_losers, "chunk long, keys binary")
+    packed = rows.mapInArrow(_pack, "chunk long, docs binary").repartition(tasks, "chunk")
+    found = packed.groupBy("chunk").cogroup(hot.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(lambda a, b: _candidates(a, b, k, bits, parts), "part int, chunk long, keys binary")
+    lost = found.groupBy("part").applyInArrow(_losers, "chunk long, keys binary").repartition(tasks, "chunk")
     return packed.groupBy("chunk").cogroup(lost.groupBy("chunk")).applyInArrow(lambda a, b: _remove(a, b, k), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
