@@ -1,14 +1,25 @@
 """Personal data by weak supervision.
 
-Base spans (email, ip, card, phone) are exact. Further candidates come from wider
-patterns and from a gazetteer of given names. Labelers of three sorts - patterns,
-gazetteers, context - vote on every candidate; the distinct patterns of votes and
-features are counted over the whole corpus, expectation-maximisation estimates
-each labeler's reliability from those counts, and a logistic span classifier is
-trained on the counts weighted by the estimated truth. It adds spans; base spans stay.
+Base spans (email, ip, card, phone) are exact and always stay. Further candidates
+come from wider patterns and from a gazetteer of given names, so wide that many
+are none. Six labelers - two by form, one by gazetteer, two by context, one by
+length - vote for, against or not at all on each of these candidates, and only on
+these, as base spans need no vote and would teach the labelers nothing but their
+own certainty. The distinct patterns of votes and features are counted over the
+whole corpus, expectation-maximisation estimates each labeler's reliability from
+those counts, and a logistic span classifier is trained on the features (kind,
+size, digits, what stands around, validity, gazetteer, context) against the
+estimated truth. Candidates that it accepts are added.
+
+Each text passes Python once: what is found there is written, and counting and
+choosing are plain DataFrame operations over it.
 
 Positions are code points, ends exclusive. A null text is empty and has no spans;
-repeated rows are judged alike. Every scan is linear in the text.
+an empty table gives no rows; a null id is an id; repeated rows are judged alike.
+Of overlapping candidates the leftmost stays, then the longest, then the first
+kind by name. Every scan is linear in the text, so a very long text takes long in
+proportion and is held whole. Columns other than those of keep and the text are
+not read.
 """
 
 from __future__ import annotations
@@ -23,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 KINDS = ["email", "ip", "card", "phone", "name", "ssn", "secret"]
 BASE_KINDS = KINDS[:4]
-# Given names, a small gazetteer; replace it by a larger one through the parameter
+#: Given names, a small gazetteer; another, as a list or a table with column name, is a parameter.
 GIVEN_NAMES = ["Alice", "Andrew", "Carlos", "Charles", "Claire", "David", "Elena", "Emily", "François", "George", "Hans", "Helen", "James", "Javier", "Jürgen", "Laura", "Maria", "Michael", "Pierre", "Robert", "Sarah", "Sophie", "Thomas", "William"]
+MAX_NAMES = 100_000
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,11 +51,13 @@ _WIDER = {
     "phone": re.compile(r"\(?(?<![0-9])[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
-_SECRET = re.compile(r"\b(?:password|passwd|secret|token|api_key)[=:]\x20?[A-Za-z0-9+/_-]{8,}")
-_SPELLED = re.compile(r"\b[A-Za-z0-9._-]{2,64}\x20?[\[(]?\bat\b[\])]?\x20?[A-Za-z0-9-]{2,64}\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,24}\b")
+_SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\x20{0,2}[=:]\x20{0,2}[\"']?([A-Za-z0-9+/_=-]{6,})")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z_-]{0,40}[0-9])[A-Za-z0-9_-]{24,}")
+_SPELLED = re.compile(r"\b[A-Za-z0-9._-]{2,64}\x20?[\[(]?\bat\b[\])]?\x20?[A-Za-z0-9-]{2,64}\x20?[\[(]?\bdot\b[\])]?\x20?[A-Za-z]{2,24}\b")
 _TITLE = re.compile(r"\b(?:Mr|Mrs|Ms|Dr)\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?")
-_GOOD_CUE = re.compile(r"(?i)\b(?:call|phone|tel|mail|contact|fax|card|visa|name|mr|mrs|dr|ssn|login|user|password|address|ip|from|host)\b")
-_BAD_CUE = re.compile(r"(?i)\b(?:version|license|page|isbn|order|section|figure|item|rfc|vol|no|under)\b")
+_TWO_NAMES = re.compile(r"\b([^\W\d_]+)\x20[A-Z][a-z]{2,}\b")
+_GOOD_CUE = re.compile(r"(?i)\b(?:call|phone|tel|mail|contact|fax|card|visa|name|mr|mrs|dr|ssn|social|login|user|password|token|secret|key|address|ip|from|host|write|meet|ask|dear)\b")
+_BAD_CUE = re.compile(r"(?i)\b(?:version|license|page|isbn|order|section|figure|item|rfc|vol|no|under|part|chapter|commit|hash|sha|sum)\b")
 
 
 class Span(NamedTuple):
@@ -92,20 +106,20 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
-def wider_spans(text: str, base: list[Span], names: re.Pattern, heads: list[str]) -> list[Span]:
+def wider_spans(text: str, base: list[Span], given: frozenset[str]) -> list[Span]:
     """Candidates beside the base spans, not overlapping those or one another; the leftmost wins, then the longest."""
     found: list[Span] = []
     if any(d in text for d in "0123456789"):
         for kind, pattern in _WIDER.items():
             found += [Span(kind, m.start(), m.end()) for m in pattern.finditer(text)]
-        if "=" in text or ":" in text:
-            found += [Span("secret", m.start(), m.end()) for m in _SECRET.finditer(text)]
+        found += [Span("secret", m.start(), m.end()) for m in _OPAQUE.finditer(text)]
+    if "=" in text or ":" in text:
+        found += [Span("secret", m.start(1), m.end(1)) for m in _SECRET.finditer(text)]
     if "dot" in text:
-        found += [Span("email", m.start(), m.end()) for m in _SPELLED.finditer(text)] if "[dot" in text or "(dot" in text else []
+        found += [Span("email", m.start(), m.end()) for m in _SPELLED.finditer(text)]
     if any(t in text for t in ("Mr", "Ms", "Dr")):
         found += [Span("name", m.start(), m.end()) for m in _TITLE.finditer(text)]
-    if any(h in text for h in heads):
-        found += [Span("name", m.start(), m.end()) for m in names.finditer(text)]
+    found += [Span("name", m.start(), m.end()) for m in _TWO_NAMES.finditer(text) if m[1] in given]
     out, taken = [], sorted((s.start, s.end) for s in base)
     end, at = -1, 0
     for s in sorted(found, key=lambda s: (s.start, -s.end, s.kind)):
@@ -118,33 +132,38 @@ def wider_spans(text: str, base: list[Span], names: re.Pattern, heads: list[str]
 
 
 LABELERS = ["shape", "valid", "gazetteer", "context", "edges", "length"]
+_LENGTHS = {"phone": (10, 14), "ssn": (11, 11), "secret": (12, 80), "email": (10, 60), "name": (6, 30)}
 
 
-def votes(text: str, s: Span, is_base: bool, given: frozenset[str]) -> tuple[int, ...]:
+def votes(text: str, s: Span, given: frozenset[str]) -> tuple[int, ...]:
     """1 for, -1 against, 0 no opinion, by each of LABELERS."""
     body, before = text[s.start : s.end], text[max(0, s.start - 40) : s.start]
     digits = _digits(body)
     words = re.findall(r"\w+", body)[:8]
-    shape = 1 if is_base else {"phone": 1 if body[0] == "(" or body.count("-") == 2 else -1, "ssn": 1, "secret": 1, "email": 1, "name": 1 if len(words) > 1 else -1}.get(s.kind, 0)
-    valid = {"phone": 1 if len(digits) >= 10 and digits[-10] in "23456789" else -1, "ssn": -1 if digits[:3] in ("000", "666") or digits[:1] == "9" or digits[3:5] == "00" else 1, "secret": 1 if digits and re.search("[a-z]", body.partition("=")[2]) else -1}.get(s.kind, 1 if is_base else 0)
+    keyed = bool(re.search(r"[=:]\x20{0,2}[\"']?$", before))
+    shape = {"phone": 1 if body[0] == "(" or body.count("-") == 2 else -1, "ssn": 0, "secret": 1 if keyed else -1, "email": 1 if "[" in body or "(" in body else -1, "name": 1 if _TITLE.match(body) else 0}[s.kind]
+    valid = {"phone": 1 if digits[-10:-9] in tuple("23456789") else -1, "ssn": -1 if digits[:3] in ("000", "666") or digits[:1] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1, "secret": 1 if len(digits) >= 3 and re.search("[A-Za-z]", body) else -1}.get(s.kind, 0)
     gazetteer = 0 if s.kind != "name" else 1 if any(w in given for w in words) else -1
-    context = 1 if _GOOD_CUE.search(before) else -1 if _BAD_CUE.search(before) else 0
-    left = s.start == 0 or not (text[s.start - 1].isalnum())
+    context = -1 if _BAD_CUE.search(before) else 1 if _GOOD_CUE.search(before) else 0
+    left = s.start == 0 or not text[s.start - 1].isalnum()
     right = s.end == len(text) or not text[s.end].isalnum()
-    return shape, valid, gazetteer, context, 1 if left and right else -1, 1 if 6 <= len(body) <= 80 else -1
+    low, high = _LENGTHS[s.kind]
+    return shape, valid, gazetteer, context, 1 if left and right else -1, 1 if low <= len(body) <= high else -1
 
 
-def features(text: str, s: Span, is_base: bool) -> tuple[int, ...]:
-    """Kind, size and surroundings of a span as small integers."""
+_SIZES = (len(KINDS), 6, 5, 2, 3, 3, 3, 3)
+
+
+def features(text: str, s: Span, v: tuple[int, ...]) -> tuple[int, ...]:
+    """Kind, size and surroundings of a span, and what some labelers say, as small integers."""
     body = text[s.start : s.end]
     share = 4 * len(_digits(body)) // max(len(body), 1)
-    return KINDS.index(s.kind), int(is_base), min(len(body) // 8, 5), share, int(text[s.end : s.end + 1] in ("", " ", ",", ".", "\n")), int(bool(_GOOD_CUE.search(text[max(0, s.start - 40) : s.start])))
+    return KINDS.index(s.kind), min(len(body) // 8, 5), share, int(text[s.end : s.end + 1] in ("", " ", ",", ".", "\n", '"', "'")), v[0] + 1, v[1] + 1, v[2] + 1, v[3] + 1
 
 
 def _design(f: np.ndarray) -> np.ndarray:
     """One column for each value of each feature, and one for all."""
-    sizes = (len(KINDS), 2, 6, 5, 2, 2)
-    return np.concatenate([np.ones((len(f), 1)), *(np.eye(n)[f[:, i]] for i, n in enumerate(sizes))], axis=1)
+    return np.concatenate([np.ones((len(f), 1)), *(np.eye(n)[f[:, i]] for i, n in enumerate(_SIZES))], axis=1)
 
 
 class Model(NamedTuple):
@@ -153,6 +172,7 @@ class Model(NamedTuple):
     weights: np.ndarray
 
     def accepts(self, f: tuple[int, ...]) -> bool:
+        """Whether the classifier takes a candidate of these features."""
         return bool(_design(np.array([f]))[0] @ self.weights > 0)
 
 
@@ -188,59 +208,63 @@ def train(patterns: dict[tuple[tuple[int, ...], tuple[int, ...]], int]) -> Model
     return Model(rel, prior, w)
 
 
-def _matcher(given: list[str]) -> tuple[re.Pattern, list[str], frozenset[str]]:
-    return re.compile(rf"\b(?:{'|'.join(map(re.escape, given))})\x20[A-Z][a-z]{{2,}}\b"), [f"{g} " for g in given], frozenset(given)
-
-
-def learn(docs: DataFrame, given: list[str] | None = None) -> Model | None:
-    """Count the patterns of all candidates of all texts, then train. The patterns are a few hundred at most, whatever the input."""
-    given = given or GIVEN_NAMES
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, heads, known = _matcher(given)
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                base = base_spans(text or "")
-                spans = [(s, True) for s in base] + [(s, False) for s in wider_spans(text or "", base, names, heads)]
-                for s, is_base in spans:
-                    seen[repr((votes(text, s, is_base, known), features(text, s, is_base)))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
+def _names(given: list[str] | DataFrame | None) -> frozenset[str]:
+    """The gazetteer: a list, or a table's column name, MAX_NAMES of it at most."""
+    if isinstance(given, DataFrame):
+        given = [r.name for r in given.where("name is not null").select("name").distinct().orderBy("name").limit(MAX_NAMES).collect()]
+    return frozenset(GIVEN_NAMES if given is None else given)
 
-    from ast import literal_eval
 
-    got = docs.select("text").mapInArrow(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    return train({literal_eval(r.pattern): r.n for r in got})
+def _pattern(v: tuple[int, ...], f: tuple[int, ...]) -> str:
+    return ",".join(map(str, (*v, *f)))
 
 
-def find_spans(docs: DataFrame, model: Model | None, keep: list[str], given: list[str] | None = None) -> DataFrame:
-    """The columns of keep and spans (kind, start, stop, base), ordered by start and kind, of every whole text."""
-    given = given or GIVEN_NAMES
+def candidates(docs: DataFrame, keep: list[str], given: list[str] | DataFrame | None = None) -> DataFrame:
+    """The columns of keep and spans (kind, start, stop, base, pattern) of every whole text, written; pattern: votes and features of a candidate, null of a base span."""
     rows = docs.select(*keep, F.col("text").alias("__text"))
-    kind = "array<struct<kind:string,start:int,stop:int,base:boolean>>"
+    kind = "array<struct<kind:string,start:int,stop:int,base:boolean,pattern:string>>"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), f"spans {kind}"])
-    span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_())]))
+    span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_()), ("pattern", pa.string())]))
+    shared = docs.sparkSession.sparkContext.broadcast(_names(given))  # MAX_NAMES at most
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, heads, _ = _matcher(given)
         for batch in batches:
             out = []
-            for text in batch.column(len(keep)).to_pylist():
-                base = base_spans(text or "")
-                spans = [(s, True) for s in base]
-                if model is not None and text:
-                    spans += [(s, False) for s in wider_spans(text, base, names, heads) if model.accepts(features(text, s, False))]
+            for text in batch.column(len(keep)):
+                text = text.as_py() or ""
+                base = base_spans(text)
+                spans = [(s, None) for s in base]
+                for s in wider_spans(text, base, shared.value):
+                    v = votes(text, s, shared.value)
+                    spans.append((s, _pattern(v, features(text, s, v))))
                 spans.sort(key=lambda x: (x[0].start, KINDS.index(x[0].kind)))
-                out.append([{"kind": s.kind, "start": s.start, "stop": s.end, "base": b} for s, b in spans])
+                out.append([{"kind": s.kind, "start": s.start, "stop": s.end, "base": p is None, "pattern": p} for s, p in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, span_type)], names=[*keep, "spans"])
 
-    return rows.mapInArrow(find, schema)
+    return written(rows.mapInArrow(find, schema), "pii-candidates")
+
+
+def learn(found: DataFrame) -> tuple[Model | None, list[str]]:
+    """The model of all candidates, and the patterns that it accepts. Patterns are at most the combinations of votes and features, whatever the input."""
+    got = found.select(F.explode("spans").alias("s")).where("s.pattern is not null").groupBy("s.pattern").agg(F.count("*").alias("n")).collect()
+    split = {r.pattern: tuple(int(x) for x in r.pattern.split(",")) for r in got}
+    cut = len(LABELERS)
+    model = train({(split[r.pattern][:cut], split[r.pattern][cut:]): r.n for r in got})
+    return model, sorted(p for p, x in split.items() if model.accepts(x[cut:]))
+
+
+def find_spans(docs: DataFrame, keep: list[str], given: list[str] | DataFrame | None = None) -> DataFrame:
+    """The columns of keep and spans (kind, start, stop, base), ordered by start and kind, of every whole text."""
+    found = candidates(docs, keep, given)
+    _, accepted = learn(found)
+    kept = F.filter("spans", lambda s: s["base"] | s["pattern"].isin(accepted))
+    return found.select(*keep, F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["base"].alias("base"))).alias("spans"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest of the base spans, and all spans, of every document."""
     docs = table(spark, sf_dir, "documents")
-    found = find_spans(docs, learn(docs), ["doc_id"])
+    found = find_spans(docs, ["doc_id"])
     line = lambda only: F.array_join(F.transform(F.filter("spans", (lambda s: s["base"]) if only else (lambda s: F.lit(True))), lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(line(True), 256).alias("base_sha256"), line(False).alias("spans"))
+    return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(line(True), 256).alias("base_sha256"), line(False).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

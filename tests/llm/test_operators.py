@@ -113,19 +113,60 @@ def test_op4(spark):
     assert language_id.identify(docs(spark, [(1, "a")]), language_id.fit([]), ["doc_id"]).first().lang_pred == "und"
 
 
+def luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
 def test_op5(spark):
     text = "Mail é a.b@c.de, call +1 (458) 555-3863 or (458) 555-3863; 4111 1111 1111 1111 at 10.0.0.256 and 10.0.0.25 password=897a334fdac2c39185"
-    rows = docs(spark, [(1, text), (2, None), (3, "")])
-    got = {r.doc_id: [(s.kind, text[s.start : s.stop]) for s in r.spans if s.base] for r in pii.find_spans(rows, pii.learn(rows), ["doc_id"]).collect()}
-    assert got[1] == [("email", "a.b@c.de"), ("phone", "+1 (458) 555-3863"), ("card", "4111 1111 1111 1111"), ("ip", "10.0.0.25")]
+    rows = docs(spark, [(1, text), (2, None), (3, ""), (None, text)])
+    got = {r.doc_id: [(s.kind, text[s.start : s.stop]) for s in r.spans if s.base] for r in pii.find_spans(rows, ["doc_id"]).collect()}
+    assert got[1] == got[None] == [("email", "a.b@c.de"), ("phone", "+1 (458) 555-3863"), ("card", "4111 1111 1111 1111"), ("ip", "10.0.0.25")]
     assert got[2] == got[3] == []
-    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"]
-    rng = np.random.default_rng(4)
-    for _ in range(3000):
-        t = "".join(rng.choice(list("ab12.@-+ %é"), 40))
+    assert pii.find_spans(docs(spark, []), ["doc_id"]).count() == 0
+
+
+def test_op5_base_spans_agree_with_the_patterns():
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) < 256 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    }
+    rng, seen = np.random.default_rng(4), Counter()
+    cards = ["4111 1111 1111 1111", "5500-0000-0000-0004", "340000000000009", "4111 1111 1111 1112", "+1 (458) 555-3863", "+44.20 7946 0958", "10.0.0.25", "256.1.1.1", "001.2.3.4.5.6.7.8", "a1.b@c.d"]
+    for i in range(6000):
+        t = "".join(rng.choice(list("ab12.@-+ %é()" if i % 2 else "0123456789 -+.( "), 40))
+        if i % 3 == 0:
+            t = f"{t[:20]} {rng.choice(cards)} {t[20:]}"
         base = pii.base_spans(t)
-        assert [(s.start, s.end) for s in base if s.kind == "email"] == [m.span() for m in re.finditer(patterns[0], t)]
-        assert [(s.start, s.end) for s in base if s.kind == "ip"] == [m.span() for m in re.finditer(patterns[1], t) if all(int(x) < 256 for x in m[0].split("."))]
+        for kind, (pattern, fits) in kinds.items():
+            want = [m.span() for m in re.finditer(pattern, t) if fits(m[0])]
+            assert [(s.start, s.end) for s in base if s.kind == kind] == want
+            seen[kind] += len(want)
+    assert min(seen.values()) > 50
+
+
+def test_op5_added_spans_are_found_and_decoys_left(spark):
+    """Secrets, spelled addresses, names, numbers in other forms, among things that look like them."""
+    rng = np.random.default_rng(16)
+    hexa = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    pad = lambda: " ".join("".join(rng.choice(list("abcdefghijk"), 6)) for _ in range(8))
+    digits = lambda n: "".join(rng.choice(list("23456789"), n))
+    good = [lambda: f'token = "{hexa(36)}"', lambda: f"password={hexa(18)}", lambda: f"jo.{hexa(4)} [at] mail{digits(1)} [dot] com", lambda: f"Dr. Sarah {rng.choice(['Meyer', 'Stone'])}", lambda: f"call ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"ssn 4{digits(2)}-{digits(2)}-{digits(4)}"]
+    bad = [lambda: f"commit {hexa(40)}", lambda: f"order no 9{digits(2)}-00-{digits(4)}", lambda: f"item {digits(3)} {digits(3)} {digits(4)}", lambda: "look at some dot here"]
+    rows, planted = [], []
+    for i in range(400):
+        is_bad = i % 10 >= 6
+        x = (bad[(i // 10) % 4] if is_bad else good[i % 6])()
+        head = pad() + " "
+        rows.append((i, f"{head}{x} {pad()}"))
+        planted.append((is_bad, len(head), len(head) + len(x)))
+    got = {r.doc_id: [s for s in r.spans if not s.base] for r in pii.find_spans(docs(spark, rows), ["doc_id"]).collect()}
+    hit = [any(s.start < hi and s.stop > lo for s in got[i]) for i, (_, lo, hi) in enumerate(planted)]
+    caught = [h for h, (b, *_) in zip(hit, planted, strict=True) if not b]
+    wrong = [h for h, (b, *_) in zip(hit, planted, strict=True) if b]
+    assert sum(caught) >= 0.9 * len(caught) and sum(wrong) <= 0.1 * len(wrong)
 
 
 def test_op5_reliabilities_are_estimated():
