@@ -132,6 +132,7 @@ def wider_spans(text: str, base: list[Span], given: frozenset[str]) -> list[Span
 
 
 LABELERS = ["shape", "valid", "gazetteer", "context", "edges", "length"]
+_DOMAINS = frozenset(["com", "org", "net", "edu", "gov", "info", "io", "co", "dev", "de", "fr", "es", "it", "uk", "us", "eu", "ch", "at"])
 _LENGTHS = {"phone": (10, 14), "ssn": (11, 11), "secret": (12, 80), "email": (10, 60), "name": (6, 30)}
 
 
@@ -142,7 +143,7 @@ def votes(text: str, s: Span, given: frozenset[str]) -> tuple[int, ...]:
     words = re.findall(r"\w+", body)[:8]
     keyed = bool(re.search(r"[=:]\x20{0,2}[\"']?$", before))
     shape = {"phone": 1 if body[0] == "(" or body.count("-") == 2 else -1, "ssn": 0, "secret": 1 if keyed else -1, "email": 1 if "[" in body or "(" in body else -1, "name": 1 if _TITLE.match(body) else 0}[s.kind]
-    valid = {"phone": 1 if digits[-10:-9] in tuple("23456789") else -1, "ssn": -1 if digits[:3] in ("000", "666") or digits[:1] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1, "secret": 1 if len(digits) >= 3 and re.search("[A-Za-z]", body) else -1}.get(s.kind, 0)
+    valid = {"phone": 1 if digits[-10:-9] in tuple("23456789") else -1, "ssn": -1 if digits[:3] in ("000", "666") or digits[:1] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1, "secret": 1 if len(digits) >= 3 and re.search("[A-Za-z]", body) else -1, "email": 1 if words[-1:] and words[-1].lower() in _DOMAINS else -1}.get(s.kind, 0)
     gazetteer = 0 if s.kind != "name" else 1 if any(w in given for w in words) else -1
     context = -1 if _BAD_CUE.search(before) else 1 if _GOOD_CUE.search(before) else 0
     left = s.start == 0 or not text[s.start - 1].isalnum()
