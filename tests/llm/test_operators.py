@@ -85,6 +85,50 @@ def test_op2(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_op2_agrees_with_plain_loops_on_a_graph_with_hubs(spark):
+    """Cycles, hosts that link nowhere, a hub that all link to and that links to all, shared suffixes, repeated pages."""
+    rng = np.random.default_rng(17)
+    hosts = [f"h{i}.{d}" for i, d in enumerate(["com", "net", "org", "co.uk", "a.github.io", "x.dom.org"] * 12)] + ["hub.org"]
+    pages = []
+    for i, h in enumerate(hosts):
+        to = rng.choice(hosts, int(rng.integers(0, 5))).tolist() if h != "hub.org" else hosts
+        html = "".join(f'<a href="https://{x}/p">' for x in [*to, *(["hub.org"] if i % 3 else [])])
+        for path in rng.choice(["/es/1", "/en/2", "/x", "/fr/"], int(rng.integers(1, 4))):
+            pages.append((len(pages), f"http://{h}{path}", html))
+    pages += pages[:5]
+    df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, host string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df).collect()}
+    edges, good, bad, ruled = set(), Counter(), Counter(), {}
+    for page, url, html in pages:
+        host, path = re.match(r"http://([^/]*)(.*)", url).groups()
+        edges |= {(host, x) for x in re.findall(r'href="https://([^/]*)/', html) if x != host}
+        labels = host.split(".")
+        names = [".".join(labels[i:]) for i in range(len(labels) - 1)]
+        for a, b in zip(names, names[1:], strict=False):
+            if not {a, b} & set(url_filter.SHARED_SUFFIXES):
+                edges |= {(a, b), (b, a)}
+        fits = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        rule = max(fits, key=lambda r: len(r.host + r.path), default=None)
+        ruled[page] = (host, rule)
+        good[host] += rule is not None and rule.verdict == "allow"
+        bad[host] += rule is not None and rule.verdict == "block"
+    nodes = {x for e in edges for x in e} | set(good)
+    out, into = Counter(a for a, _ in edges), Counter(b for _, b in edges)
+    seeds = [{h: c[h] / sum(c.values()) for h in nodes} for c in (good, bad)]
+    trust, distrust = (dict(s) for s in seeds)
+    for _ in range(24):
+        t, d = ({h: 0.15 * s[h] for h in nodes} for s in seeds)
+        for a, b in edges:
+            t[b] += 0.85 * trust[a] / out[a]
+            d[a] += 0.85 * distrust[b] / into[b]
+        trust, distrust = t, d
+    want = {}
+    for page, (host, rule) in ruled.items():
+        spread = "block" if distrust[host] > 0 and distrust[host] / (trust[host] + distrust[host]) > 0.5 + 1e-9 else "allow"
+        want[page] = (rule.host + rule.path if rule else None, rule.verdict if rule else spread)
+    assert got == want and 10 < sum(r is None and v == "block" for r, v in want.values()) and sum(r is None and v == "allow" for r, v in want.values()) > 10
+
+
 def test_op3(spark, texts):
     rows = texts + [(None, "n"), (None, "m"), (5, "dup"), (5, "dup")]
     got = sharding.shard_rows(docs(spark, rows), 4).collect()
