@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WS = r"[\x20\x09-\x0D]"
 HOT_SHARE = 256  # a key is hot if it holds more than 1 / HOT_SHARE of the rows; so at most HOT_SHARE keys are
@@ -74,6 +75,11 @@ def split_join(rows: DataFrame, small: DataFrame, key: str, n: str, total: int,
     return first.unionByName(rest.select(*first.columns))
 
 
+def with_columns(fields: list[T.StructField], ddl: str) -> T.StructType:
+    """The schema of the fields, whatever their names and types, and then those of the DDL string."""
+    return T.StructType([*fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def tokens(text: Column) -> Column:
     """The words of a text as an array; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{WS}+"), "")

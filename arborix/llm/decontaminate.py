@@ -44,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import drop_written, table, written
+from .common import drop_written, table, with_columns, written
 
 WINDOW, LEAST_PLAIN, SALTS = 10, 6, 8
 FILTER_BYTES, BITS_PER_WINDOW, PROBES = 32 << 20, 32, 4
@@ -287,7 +287,7 @@ def _candidates(rows: DataFrame, windows: DataFrame, k: int, least_plain: int, f
                 numbers = [w.form.astype(np.int32), w.length.astype(np.int32), w.key.view(np.int64), w.second.view(np.int64), w.begin]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(names))), *map(pa.array, numbers)], names=[*names, "form", "n", "key", "key2", "p"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "form int, n int, key long, key2 long, p long"])
+    schema = with_columns(kinds, "form int, n int, key long, key2 long, p long")
     return rows.mapInArrow(search, schema)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import table
+from .common import table, with_columns
 from .samples import remainder, sampled
 
 LENGTH, WIDTHS, FILTERS, EMBED, PIECE_WINDOWS = 128, (2, 3, 4), 12, 6, 256
@@ -68,7 +68,7 @@ class ByteCnn:
         return np.maximum(np.concatenate(out, axis=1), 0)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        z = self.pooled(x) @ self.out + self.out_bias
+        z = self.pooled(x).astype(np.float64) @ self.out + self.out_bias
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, net: ByteCnn | None, keep: list[str]) -> DataFrame
     rows = docs.select(*keep, F.when(letter, F.col("text")).alias("__text"))
     if net is None:
         return rows.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string, score double"])
+    schema = with_columns(rows.schema.fields[:-1], "lang_pred string, score double")
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, net: ByteCnn | None, keep: list[str]) -> DataFrame
                 total = np.zeros((hi - lo, len(model.labels)))
                 for x, doc, size in window_rows(data, offsets):
                     np.add.at(total, doc, model.probabilities(x) * size[:, None])
-                total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
+                total = np.round(total / np.maximum(total.sum(axis=1, keepdims=True), 1e-300), 9)  # the last digits depend on the batch
                 best.append(total.argmax(axis=1))
                 top.append(total.max(axis=1))
             best, top = np.concatenate(best or [np.zeros(0, int)]), np.concatenate(top or [np.zeros(0)])

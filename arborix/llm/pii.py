@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, with_columns, written
 
 KINDS = ["email", "ip", "card", "phone", "name", "ssn", "secret"]
 BASE_KINDS = KINDS[:4]
@@ -224,7 +224,7 @@ def candidates(docs: DataFrame, keep: list[str], given: list[str] | DataFrame |
     """The columns of keep and spans (kind, start, stop, base, pattern) of every whole text, written; pattern: votes and features of a candidate, null of a base span."""
     rows = docs.select(*keep, F.col("text").alias("__text"))
     kind = "array<struct<kind:string,start:int,stop:int,base:boolean,pattern:string>>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), f"spans {kind}"])
+    schema = with_columns(rows.schema.fields[:-1], f"spans {kind}")
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_()), ("pattern", pa.string())]))
     shared = docs.sparkSession.sparkContext.broadcast(_names(given))  # MAX_NAMES at most
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import table
+from .common import table, with_columns
 from .samples import remainder, sampled
 
 TRIGRAMS, SHAPES, TERMS = 1024, 512, 2048
@@ -150,7 +150,7 @@ def score_quality(docs: DataFrame, model: Latent | None, keep: list[str]) -> Dat
     rows = docs.select(*keep, F.col("text").alias("__text"))
     if model is None:
         return rows.select(*keep, F.lit(0.5).alias("score"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "score double"])
+    schema = with_columns(rows.schema.fields[:-1], "score double")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_labelled and TERMS
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
