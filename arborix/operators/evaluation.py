@@ -18,7 +18,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import digests
-from .policy import Identity, authority
+
+
+@dataclass(frozen=True)
+class Identity:
+    """A trusted signer: by key id, or by issuer with an exact subject or a pattern (neither: any subject)."""
+
+    key_id: str | None = None
+    issuer: str | None = None
+    subject: str | None = None
+    subject_pattern: str | None = None
+
+
+def authority(url: Column) -> Column:
+    """Host with port, without user information; null where the url has none."""
+    host = F.regexp_replace(F.regexp_extract(url, r"\A[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), r"\A.*@", "")
+    return F.when(host != "", host)
 
 
 @dataclass(frozen=True)
@@ -28,7 +43,7 @@ class Rules:
     identities: list[Identity] = field(default_factory=list)
     threshold: int = 0
     require_log: bool = False
-    max_age_seconds: int | None = None
+    max_age_seconds: float | None = None
     require_digest_reference: bool = False
     formats: list[str] = field(default_factory=list)
     max_files: int = 0
@@ -49,8 +64,12 @@ class Rules:
         if self.threshold and self.threshold > len(self.identities):
             raise ValueError("threshold exceeds the number of identities")
         for i in self.identities:
-            if bool(i.key_id) == bool(i.issuer) or (i.subject and i.subject_pattern):
-                raise ValueError("an identity has a key id or an issuer, and a subject or a pattern")
+            if bool(i.key_id) == bool(i.issuer or i.subject or i.subject_pattern):
+                raise ValueError("an identity names a key or an issuer, and not both")
+            if not i.key_id and not i.issuer:
+                raise ValueError("an identity with a subject names its issuer")
+            if i.subject and i.subject_pattern:
+                raise ValueError("an identity has a subject or a pattern")
 
     @property
     def effective_threshold(self) -> int:
@@ -118,11 +137,29 @@ def subject_findings(rules: Rules, subjects: DataFrame) -> DataFrame:
     return _listed(subjects, found or [_finding(False, "", "")], "subject_digest")
 
 
-def signature_findings(rules: Rules, subjects: DataFrame, judged: DataFrame) -> DataFrame:
-    """Of each subject: too few rules met, no evidence, no log proof; and whether provenance that is required is there."""
+def signer_counts(subjects: DataFrame, judged: DataFrame) -> DataFrame:
+    """(subject_digest, n_items, n_accepted, n_matched): items, those that count, and different rules (or identities) met."""
     signers = judged.select("subject_digest", F.explode("matched").alias("m")).groupBy("subject_digest").agg(F.countDistinct("m").alias("n_matched"))
     items = judged.groupBy("subject_digest").agg(F.count("*").alias("n_items"), F.count_if("accepted").alias("n_accepted"))
-    s = subjects.select("subject_digest").join(items, "subject_digest", "left").join(signers, "subject_digest", "left").fillna(0, ["n_matched", "n_items", "n_accepted"])
+    return subjects.select("subject_digest").join(items, "subject_digest", "left").join(signers, "subject_digest", "left").fillna(0, ["n_matched", "n_items", "n_accepted"])
+
+
+def accepted_identities(judged: DataFrame) -> DataFrame:
+    """(subject_digest, identities): the rules (or identities) met, each once, in the order of the items that first met them."""
+    met = judged.select("subject_digest", "digest", F.posexplode("matched").alias("at", "m"))
+    first = met.groupBy("subject_digest", "m").agg(F.min(F.struct("digest", "at")).alias("f"))
+    listed = first.groupBy("subject_digest").agg(F.array_sort(F.collect_list(F.struct("f", "m"))).alias("l"))  # as many as there are rules
+    return listed.select("subject_digest", F.transform("l", lambda x: x["m"]).alias("identities"))
+
+
+def expired(evaluated_at: Column, max_age_seconds: float) -> Column:
+    """Whether an item of column signed_at is too old, or has no authenticated time."""
+    return F.coalesce(F.unix_micros(evaluated_at) - F.unix_micros("signed_at") > int(max_age_seconds * 1_000_000), F.lit(True))
+
+
+def signature_findings(rules: Rules, subjects: DataFrame, judged: DataFrame) -> DataFrame:
+    """Of each subject: too few rules met, no evidence, no log proof; and whether provenance that is required is there."""
+    s = signer_counts(subjects, judged)
     found = []
     if rules.effective_threshold:
         if rules.identities:
@@ -145,8 +182,7 @@ def item_findings(rules: Rules, subjects: DataFrame, judged: DataFrame, evaluate
     if rules.effective_threshold and rules.require_log:
         found.append(_finding(F.col("accepted") & ~F.coalesce("log_verified", F.lit(False)), "transparency-proof", "signatures.requireTransparencyLog"))
     if rules.max_age_seconds is not None:
-        age = F.unix_micros(evaluated_at) - F.unix_micros("signed_at")
-        found.append(_finding(F.col("accepted") & F.coalesce(age > rules.max_age_seconds * 1_000_000, F.lit(True)), "evidence-expired", "evidence.maxAge"))
+        found.append(_finding(F.col("accepted") & expired(evaluated_at, rules.max_age_seconds), "evidence-expired", "evidence.maxAge"))
     if not rules.allow_fallback:
         found.append(_finding(F.coalesce("via_fallback", F.lit(False)), "tag-fallback-not-allowed", "evidence.allowTagFallback"))
     if rules.asks_provenance:

@@ -12,7 +12,7 @@ from ..operators import evaluation as ev
 from ..operators import inventory as inv
 from ..operators import specs
 from ..sources import directory, layout
-from .queries import EVALUATED_AT, ORACLE_SQL, OTHER, POLICY, QUERIES, RULE_SQL, SUBJECT, TREE, altered_tree, document_tree, query, table
+from .queries import EVALUATED_AT, ORACLE_SQL, OTHER, POLICY, QUERIES, RULE_SQL, SUBJECT, TREE, altered_tree, document_tree, event_subjects, evidence, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -83,14 +83,11 @@ def lock_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.stale_locks(of(document_tree(table(spark, sf_dir, "documents"))), of(altered_tree(spark, sf_dir)))
 
 
-RAW_SQL = "(case doc_id % 4 when 0 then 'oci://' when 1 then 'oci-layout:///' else '' end) || (case doc_id % 3 when 0 then 'registry.example.com:5000/' when 1 then 'localhost/' else 'team/' end) || lang || '/c' || doc_id || (case when doc_id % 5 < 2 then ':v' || doc_id else '' end) || (case when doc_id % 7 < 2 then '@sha256:' || sha256(doc_id::varchar) else '' end)"
-_REGISTRY = references.REGISTRY_REFERENCE.replace("'", "''")
-
 
 @query(
-    f"with r as (select doc_id, {RAW_SQL} as raw, doc_id % 4 = 1 as l, doc_id % 3 <> 2 as host, doc_id % 5 < 2 as t, doc_id % 7 < 2 as g from documents), "
-    f"p as (select *, (l or host) and not (t and g) as ok, regexp_replace(raw, '\\Aoci(-layout)?://', '') as rest from r) "
-    f"select doc_id, case when not ok then '' when l then 'oci-layout' else 'oci' end as scheme, case when ok and not l then regexp_extract(rest, '{_REGISTRY}', 1) else '' end as registry, case when ok and not l then regexp_extract(rest, '{_REGISTRY}', 2) else '' end as repository, case when ok and l then regexp_replace(regexp_replace(rest, '@.*\\z', ''), ':[^/:]*\\z', '') else '' end as path, case when ok and t then 'v' || doc_id else '' end as tag, case when ok and g then 'sha256:' || sha256(doc_id::varchar) else '' end as digest, case when ok then 'ok' else 'invalid-input' end as code from p"
+    f"with r as (select doc_id, lang, doc_id % 4 = 1 as l, doc_id % 3 <> 2 as host, doc_id % 5 < 2 as t, doc_id % 7 < 2 as g, case doc_id % 3 when 0 then 'registry.example.com:5000' when 1 then 'localhost' else 'team' end as h from documents), "
+    f"p as (select *, lang is not null and (l or host) and not (t and g) as ok from r) "
+    f"select doc_id, case when not coalesce(ok, false) then '' when l then 'oci-layout' else 'oci' end as scheme, case when ok and not l then h else '' end as registry, case when ok and not l then lang || '/c' || doc_id else '' end as repository, case when ok and l then '/' || h || '/' || lang || '/c' || doc_id else '' end as path, case when ok and t then 'v' || doc_id else '' end as tag, case when ok and g then 'sha256:' || sha256(doc_id::varchar) else '' end as digest, case when ok then 'ok' else 'invalid-input' end as code from p"
 )
 def reference_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
@@ -118,10 +115,12 @@ def event_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select((F.col("user_id") % 20).cast("string").alias("layout"), s("event_id").alias("digest"), F.lit("m").alias("media_type"), F.length("props").cast("long").alias("size"), F.lit("a").alias("artifact_type"), F.when(F.col("event_id") % 3 != 0, s("event_type")).alias("tag"), F.lit(None).cast("string").alias("subject"), F.col("event_id").alias("seq"))
 
 
-@query("select layout, tag, digest from (select user_id % 20 || '' as layout, case when event_id % 3 <> 0 then event_type end as tag, event_id || '' as digest, row_number() over (partition by user_id % 20, case when event_id % 3 <> 0 then event_type else event_id || '' end order by event_id desc) as rn from events) where rn = 1")
+@query("select layout, tag, digest from (select user_id % 20 || '' as layout, case when event_id % 3 <> 0 then event_type end as tag, event_id || '' as digest, row_number() over (partition by user_id % 20, case when event_id % 3 <> 0 then event_type else event_id || '' end order by event_id % 2 desc, event_id desc) as rn from events) where rn = 1")
 def catalog_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd events put into the catalogue that the even ones left: a tag goes to the last one put, whatever held it."""
     rows = event_catalog(spark, sf_dir)
-    return layout.put_manifests(rows.limit(0), rows).select("layout", "tag", "digest")
+    held = layout.put_manifests(rows.limit(0), rows.where("seq % 2 = 0"))
+    return layout.put_manifests(held, rows.where("seq % 2 = 1")).select("layout", "tag", "digest")
 
 
 @query("with c as (select o_orderstatus as layout, o_custkey || '' as tag, count(*) as n, min(o_orderkey || '') as digest from orders group by 1, 2) select 'F' as layout, c_custkey || '' as tag, case when n = 1 then digest end as digest, case when n is null then 'not-found' when n > 1 then 'invalid-artifact' else 'ok' end as code from customer left join c on c.layout = 'F' and c.tag = c_custkey || ''")
@@ -153,13 +152,12 @@ OLD = f"(ts is null or epoch_us(timestamp '{EVALUATED_AT}') - epoch_us(ts) > 864
 )
 def trust_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of a whole evaluation by subject and code."""
-    n, none = F.col("event_id"), F.lit(None).cast("string")
-    own = (n % 100).cast("string")
-    signer = F.struct(none.alias("key_id"), F.col("event_type").alias("issuer"), F.concat(F.lit("user"), F.col("user_id") % 50).alias("subject"))
-    said = F.when(n % 200 >= 100, "another").otherwise(own)
-    statement = F.struct(F.col("event_type").alias("predicate_type"), said.alias("subject_digest"), none.alias("tree_digest"), none.alias("format"), none.alias("lock_digest"), none.alias("builder"), F.array().cast("array<struct<name:string,type:string,url:string,tree_digest:string>>").alias("sources"))
-    e = table(spark, sf_dir, "events").select(own.alias("subject_digest"), n.cast("string").alias("digest"), F.array(signer).alias("identities"), (n % 3 != 0).alias("log_verified"), (n % 10 == 0).alias("via_fallback"), F.col("ts").cast("timestamp").alias("signed_at"), statement.alias("statement"))
-    subjects = e.groupBy("subject_digest").agg(F.lit(True).alias("by_digest"), none.alias("format"), F.count("*").alias("n_files"), F.lit(0).alias("total_size"), none.alias("tree_digest"))
+    n, none = F.col("digest").cast("long"), F.lit(None).cast("string")
+    said = F.when(n % 200 >= 100, "another").otherwise(F.col("subject_digest"))
+    e = evidence(spark, sf_dir)
+    statement = F.struct(e["identities"][0]["issuer"].alias("predicate_type"), said.alias("subject_digest"), none.alias("tree_digest"), none.alias("format"), none.alias("lock_digest"), none.alias("builder"), F.array().cast("array<struct<name:string,type:string,url:string,tree_digest:string>>").alias("sources"))
+    e = e.withColumns({"log_verified": n % 3 != 0, "via_fallback": n % 10 == 0, "statement": statement})
+    subjects = event_subjects(e)
     found = ev.evaluate(RULES, subjects, e, F.lit(EVALUATED_AT).cast("timestamp"))
     return found.groupBy("subject_digest", "code").agg(F.count("*").alias("n"))
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canonical_json, digests, globs, paths
+from ..operators import evaluation as ev
 from ..operators import inventory as inv
-from ..operators import policy as pol
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,12 +65,6 @@ def tree_digest_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.tree_digest_stream(document_tree(table(spark, sf_dir, "documents")))
 
 
-@query(f"with {TREE} select bundle_id, count(*) as n_files, sum(size)::bigint as total_size, max(size) as largest, count(*) filter (where mode = 493) as n_executable from tree group by bundle_id")
-def inventory_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = document_tree(table(spark, sf_dir, "documents"))
-    return tree.groupBy("bundle_id").agg(F.count("*").alias("n_files"), F.sum("size").alias("total_size"), F.max("size").alias("largest"), F.count_if(F.col("mode") == 493).alias("n_executable"))
-
-
 @query(f"with {TREE}, {OTHER}, {DIFF} select * from changes where change is not null")
 def diff_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = inv.diff(document_tree(table(spark, sf_dir, "documents")), altered_tree(spark, sf_dir))
@@ -82,19 +76,6 @@ def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.diff_summary(inv.diff(document_tree(table(spark, sf_dir, "documents")), altered_tree(spark, sf_dir)))
 
 
-@query(f"with {TREE} select bundle_id, count(*) as n_changes from (select bundle_id, path from tree where false) group by bundle_id")
-def diff_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = document_tree(table(spark, sf_dir, "documents"))
-    return inv.diff(tree, tree).groupBy("bundle_id").agg(F.count("*").alias("n_changes"))
-
-
-INCLUDE, EXCLUDE = ["en/**", "**/*[05].txt"], ["**/1*.txt", "fr/?[0-4]*"]
-
-
-@query(f"with {TREE} select bundle_id, path from tree where regexp_matches(path || '/', '{globs.regex_of(INCLUDE)}') and not regexp_matches(path || '/', '{globs.regex_of(EXCLUDE)}')")
-def glob_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = document_tree(table(spark, sf_dir, "documents"))
-    return tree.where(globs.selected(F.col("path"), INCLUDE, EXCLUDE)).select("bundle_id", "path")
 
 
 RESERVED_SQL = ", ".join(f"'{x}'" for x in paths.RESERVED)
@@ -173,19 +154,31 @@ def limits_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUBJECT = "(event_id % 100)::varchar"
 
 
+STATEMENT = "struct<predicate_type:string,subject_digest:string,tree_digest:string,format:string,lock_digest:string,builder:string,sources:array<struct<name:string,type:string,url:string,tree_digest:string>>>"
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as evidence without statements: an event is signed by its user under its type's issuer."""
+    none = F.lit(None).cast("string")
+    signer = F.struct(none.alias("key_id"), F.col("event_type").alias("issuer"), F.concat(F.lit("user"), F.col("user_id") % 50).alias("subject"))
     e = table(spark, sf_dir, "events")
-    return e.select((F.col("event_id") % 100).cast("string").alias("subject_digest"), F.lit(None).cast("string").alias("key_id"), F.col("event_type").alias("issuer"), F.concat(F.lit("user"), F.col("user_id") % 50).alias("subject"), F.col("ts").alias("signed_at"))
+    return e.select((F.col("event_id") % 100).cast("string").alias("subject_digest"), F.col("event_id").cast("string").alias("digest"), F.array(signer).alias("identities"), F.lit(True).alias("log_verified"), F.lit(False).alias("via_fallback"), F.col("ts").cast("timestamp").alias("signed_at"), F.lit(None).cast(STATEMENT).alias("statement"))
+
 
+def event_subjects(e: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return e.groupBy("subject_digest").agg(F.lit(True).alias("by_digest"), none.alias("format"), F.count("*").alias("n_files"), F.lit(0).alias("total_size"), none.alias("tree_digest"))
 
-POLICY = pol.Policy(identities=[pol.Identity(issuer="click", subject_pattern="user[0-4]"), pol.Identity(issuer="view", subject="user7"), pol.Identity(issuer="purchase")], threshold=2)
+
+POLICY = ev.Rules([ev.Identity(issuer="click", subject_pattern="user[0-4]"), ev.Identity(issuer="view", subject="user7"), ev.Identity(issuer="purchase")], threshold=2)
 RULE_SQL = "case when event_type = 'click' and regexp_matches('user' || (user_id % 50), '\\A(?:user[0-4])\\z') then 0 when event_type = 'view' and 'user' || (user_id % 50) = 'user7' then 1 when event_type = 'purchase' then 2 end"
 
 
 @query(f"with s as (select distinct {SUBJECT} as subject_digest from events), c as (select {SUBJECT} as subject_digest, count(distinct {RULE_SQL}) as accepted from events group by 1) select s.subject_digest, coalesce(accepted, 0) as accepted, coalesce(accepted, 0) >= 2 as ok from s left join c using (subject_digest)")
 def identity_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = evidence(spark, sf_dir)
-    return pol.signature_counts(e.select("subject_digest").distinct(), e, POLICY)
+    counts = ev.signer_counts(e.select("subject_digest").distinct(), ev.accepted(POLICY, e))
+    return counts.select("subject_digest", F.col("n_matched").alias("accepted"), (F.col("n_matched") >= POLICY.effective_threshold).alias("ok"))
 
 
 EVALUATED_AT = "2024-01-31 00:00:00"
@@ -193,30 +186,20 @@ EVALUATED_AT = "2024-01-31 00:00:00"
 
 @query(f"select {SUBJECT} as subject_digest, count(*) as n_stale from events where ts is null or epoch_us(timestamp '{EVALUATED_AT}') - epoch_us(ts) > 864000 * 1000000::bigint group by 1")
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = pol.stale(evidence(spark, sf_dir), F.lit(EVALUATED_AT).cast("timestamp"), 864_000)
+    old = evidence(spark, sf_dir).where(ev.expired(F.lit(EVALUATED_AT).cast("timestamp"), 864_000))
     return old.groupBy("subject_digest").agg(F.count("*").alias("n_stale"))
 
 
 @query(f"with e as (select {SUBJECT} as subject_digest, {RULE_SQL} as rule, ts from events), s as (select distinct subject_digest from e), f as (select s.subject_digest from s left join (select subject_digest, count(distinct rule) as n from e group by 1) c using (subject_digest) where coalesce(n, 0) < 2 union all select subject_digest from e where rule is not null and (ts is null or epoch_us(timestamp '{EVALUATED_AT}') - epoch_us(ts) > 864000 * 1000000::bigint)) select s.subject_digest, count(f.subject_digest) as errors, case when count(f.subject_digest) = 0 then 'pass' else 'fail' end as trust from s left join f using (subject_digest) group by 1")
 def policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = evidence(spark, sf_dir)
-    policy = pol.Policy(identities=POLICY.identities, threshold=2, max_age_seconds=864_000)
-    return pol.report(policy, e.select("subject_digest").distinct(), e, F.lit(EVALUATED_AT).cast("timestamp"))
+    rules, subjects = ev.Rules(POLICY.identities, 2, max_age_seconds=864_000), event_subjects(e)
+    return ev.reports(subjects, ev.evaluate(rules, subjects, e, F.lit(EVALUATED_AT).cast("timestamp"))).select("subject_digest", "errors", "trust")
 
 
 @query("select page_id, nullif(regexp_replace(regexp_extract(url, '\\A[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '\\A.*@', ''), '') as host from pages")
 def source_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", pol.authority(F.col("url")).alias("host"))
-
-
-@query("select doc_id from documents where doc_id in (select doc_id from labels where toxic = 0)")
-def referrers_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").where("toxic = 0"), "doc_id", "left_semi")
-
-
-@query("select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
-def referrers_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return table(spark, sf_dir, "pages").select("page_id", ev.authority(F.col("url")).alias("host"))
 
 
 RAW_DIGEST = "case doc_id % 4 when 0 then 'sha256:' || sha256(text) when 1 then 'sha256:' || upper(sha256(text)) when 2 then 'sha512:' || sha256(text) else sha256(text) end"
@@ -230,33 +213,7 @@ def digest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", digests.digest_code(d).alias("code"))
 
 
-@query("select user_id, event_type as tag, event_id as digest from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rn from events) where rn = 1")
-def catalog_latest_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = F.max(F.struct("ts", "event_id"))
-    return table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("tag")).agg(latest.alias("m")).select("user_id", "tag", F.col("m.event_id").alias("digest"))
-
-
 @query("select l_orderkey, l_linenumber, (l_extendedprice::bigint) // (l_quantity::bigint) as ratio from lineitem where l_quantity::bigint > 0 and l_extendedprice::bigint > 0 and (l_extendedprice::bigint) // (l_quantity::bigint) > 1000")
 def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round("l_quantity").cast("long").alias("compressed"), F.expr("cast(bround(l_extendedprice) as long)").alias("expanded"))
     return inv.over_ratio(sizes, 1000).select("l_orderkey", "l_linenumber", "ratio")
-
-
-@query("select o_orderkey, count(l_orderkey) as delivered, coalesce(max(l_linenumber), 0)::bigint as declared, count(l_orderkey) = coalesce(max(l_linenumber), 0) as consistent from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey")
-def config_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("delivered"), F.max("l_linenumber").cast("long").alias("declared"))
-    out = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left").fillna(0, ["delivered", "declared"])
-    return out.withColumn("consistent", F.col("delivered") == F.col("declared"))
-
-
-@query("select event_id, replace(props, ' ', '') as canonical, 'sha256:' || sha256(replace(props, ' ', '')) as digest from events")
-def json_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", canonical_json.canonical_json("props").alias("canonical"))
-    return e.withColumn("digest", digests.sha256_text(F.col("canonical")))
-
-
-@query("select doc_id % 100 as subject, case when bool_or(toxic = 1) then 'fail' when count(toxic) = 0 then 'not-evaluated' else 'pass' end as status from documents left join labels using (doc_id) group by 1")
-def validator_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
-    status = F.when(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)) == 1, "fail").when(F.count("toxic") == 0, "not-evaluated").otherwise("pass")
-    return d.groupBy((F.col("doc_id") % 100).alias("subject")).agg(status.alias("status"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from arborix.functions import digests, references
 from arborix.operators import documents as docs
 from arborix.operators import evaluation as ev
-from arborix.operators.policy import Identity
+from arborix.operators.evaluation import Identity
+
 from arborix.sources import directory, layout
 from tests.test_inventory import records, some_files, tree
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from arborix.functions import canonical_json, digests, globs, paths
 from arborix.operators import inventory as inv
-from arborix.operators import policy as pol
 from arborix.plans import artifacts as queries
 
 INVENTORY = "bundle_id string, path string, mode int, size long, digest string"
@@ -159,19 +158,6 @@ def test_limits_take_the_least_positive_and_the_first_on_ties(spark):
     assert tuple(inv.resolve_limits(rows).first())[2:] == (100, "policy")
 
 
-def test_policy(spark):
-    rows = [("s1", "K1", None, None, "2026-03-01 11:00:00", "https://git.example.com:8443/x"), ("s1", "k1", None, None, "2026-03-01 11:00:00", "https://git.example.com:8443/x"), ("s2", "k1", None, None, None, None), ("s2", None, "iss", "bot\n", "2026-03-01 11:00:00", "file:///etc")]
-    e = spark.createDataFrame(rows, "subject_digest string, key_id string, issuer string, subject string, signed_at string, source_url string").withColumn("signed_at", F.col("signed_at").cast("timestamp"))
-    subjects = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "subject_digest string")
-    policy = pol.Policy([pol.Identity(key_id="k1"), pol.Identity(issuer="iss", subject_pattern="bot")], threshold=1, provenance_required=True, max_age_seconds=86_400, allowed_hosts=["git.example.com:8443"])
-    got = {r.subject_digest: (r.errors, r.trust) for r in pol.report(policy, subjects, e, F.lit("2026-03-01 12:00:00").cast("timestamp")).collect()}
-    assert got == {"s1": (0, "pass"), "s2": (2, "fail"), "s3": (2, "fail")}
-    counts = {r.subject_digest: r.accepted for r in pol.signature_counts(subjects, e, policy).collect()}
-    assert counts == {"s1": 1, "s2": 1, "s3": 0}
-    with pytest.raises(ValueError):
-        pol.Policy([], threshold=1)
-
-
 def test_digest_codes(spark):
     h = "a" * 64
     df = spark.createDataFrame([("sha256:" + h, "ok"), ("sha256:" + h.upper(), "invalid"), ("sha512:" + h, "unsupported-version"), (h, "invalid"), ("sha256:" + h + "\n", "invalid")], "d string, want string")
