@@ -28,3 +28,30 @@ def exit_code(code: Column, interrupted: bool = False) -> Column:
 def worst_exits(findings: DataFrame) -> DataFrame:
     """(bundle_id, exit_code): the highest status among a bundle's findings."""
     return findings.groupBy("bundle_id").agg(F.max(exit_code(F.col("code"))).alias("exit_code"))
+
+
+_NETWORK = r"(?i)timed? ?out|deadline exceeded|connection (?:refused|reset)|no such host|unreachable|unexpected EOF|handshake"
+
+
+def registry_code(status: Column, message: Column) -> Column:
+    """What a registry's failure is: wrong content first, as that never heals; then what isn't there, who asks, what they may; else transport. Null for none."""
+    wrong = F.coalesce(message, F.lit("")).contains("digest mismatch")
+    code = F.when(wrong, "digest-mismatch").when(status == 404, "invalid-artifact").when(status == 401, "authentication").when(status == 403, "authorization").otherwise("transport")
+    return F.when(status.isNotNull() | message.isNotNull(), code)
+
+
+def clone_code(message: Column) -> Column:
+    """What a failure to fetch a repository is; null for none."""
+    code = F.when(message.contains("authentication required") | message.contains("authorization failed"), "authentication").when(message.contains("repository not found"), "source-resolution").when(message.rlike(_NETWORK), "transport").otherwise("source-resolution")
+    return F.when(message.isNotNull(), code)
+
+
+def signing_code(message: Column) -> Column:
+    """What a failure to sign or to verify is; null for none."""
+    code = F.when(message.contains("no identity token") | message.contains("unauthorized") | message.contains("401"), "authentication").when(message.rlike(_NETWORK), "transport").otherwise("evidence-invalid")
+    return F.when(message.isNotNull(), code)
+
+
+def is_temporary(code: Column) -> Column:
+    """Whether trying again may help: never with what was rejected or served wrongly."""
+    return code.isin("transport", "timeout")

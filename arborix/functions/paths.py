@@ -32,6 +32,22 @@ def path_code(path: Column, max_bytes: int = 1024, max_segment: int = 255, max_d
     )
 
 
+def quoted(raw: Column, most: int = 128) -> Column:
+    """Bytes as text for a message: cut at most bytes, and what isn't UTF-8 replaced."""
+    return F.make_valid_utf8(F.substring(raw.cast("binary"), 1, most).cast("string"))
+
+
+def normalized(raw: Column, max_bytes: int = 1024, max_segment: int = 255, max_depth: int = 64) -> Column:
+    """path (NFC; null unless ok), code and message of a path given as bytes or text. Bytes that aren't UTF-8 are unsafe; limits and rules are of the NFC form."""
+    data = raw.cast("binary")
+    valid = F.is_valid_utf8(data.cast("string"))
+    path = nfc(F.when(valid, data.cast("string")))
+    code = F.when(raw.isNull() | (F.octet_length(data) == 0), "unsafe-path").when(~valid, "unsafe-path").otherwise(path_code(path, max_bytes, max_segment, max_depth))
+    why = F.when(raw.isNull() | (F.octet_length(data) == 0), "empty").when(~valid, "not UTF-8").when(code == "limit-exceeded", "too long or too deep").otherwise("not allowed")
+    message = F.when(code != "ok", F.concat(why, F.lit(": "), F.coalesce(quoted(data), F.lit(""))))
+    return F.struct(F.when(code == "ok", path).alias("path"), code.alias("code"), message.alias("message"))
+
+
 def parents(path: Column) -> Column:
     """Directories above a path, the shallowest first; none for a path of one segment."""
     parts = F.split(path, "/")

@@ -345,7 +345,7 @@ def deviations(read: DataFrame, level: str = "structure") -> DataFrame:
     modes = F.when(F.col("kind") == "directory", F.col("mode") != DIRECTORY_MODE).otherwise(~F.col("mode").isin(0o644, 0o755))
     needed = body.where("kind = 'file'").select("bundle_id", F.explode(paths.parents(F.col("name"))).alias("name")).distinct()
     present = body.where("kind = 'directory'").select("bundle_id", "name").distinct()
-    folded = body.select("bundle_id", "name").distinct().groupBy("bundle_id", F.lower("name").alias("k")).agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n > 1")
+    folded = body.select("bundle_id", "name").distinct().groupBy("bundle_id", paths.fold_key("name").alias("k")).agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n > 1")
     soft = "error" if level == "canonical" else "note"
     row = lambda df, what, severity: df.select("bundle_id", "name", F.lit(what).alias("deviation"), F.lit(severity).alias("severity"))
     parts = [

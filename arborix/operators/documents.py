@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import digests, references
+from ..functions.canonical_json import canonical_json
 from . import inventory as inv
 
 MANIFEST_TYPE = "application/vnd.oci.image.manifest.v1+json"  # fixed values of the public image and attestation formats
@@ -211,6 +212,29 @@ def stale_locks(declared: DataFrame, locked: DataFrame) -> DataFrame:
     return both.select("bundle_id", "source", reason.alias("reason")).where("reason is not null")
 
 
+def stale_findings(spec_digests: DataFrame, declared: DataFrame, locks: DataFrame, built: DataFrame) -> DataFrame:
+    """(bundle_id, code, path, message), all of code stale-lock: why a lock no longer says what a spec and its sources give.
+
+    spec_digests: (bundle_id, digest); declared: sources as stale_locks() takes them; locks: parsed locks; built: the inventory
+    that composing the sources gives now. What is compared: the spec, the sources, each source's tree, the final files.
+    """
+    m = _opened(locks.where("code = 'ok'"))
+    row = lambda df, path, message: df.select("bundle_id", F.lit("stale-lock").alias("code"), path.alias("path"), message.alias("message"))
+    spec = m.join(spec_digests, "bundle_id", "left").where(~F.col("manifestDigest").eqNullSafe(F.col("digest")))
+    locked = m.select("bundle_id", F.explode("sources").alias("s")).select("bundle_id", F.col("s.name").alias("source"), F.col("s.treeDigest").alias("tree_digest"))
+    files = m.select("bundle_id", F.explode("files").alias("f")).select("bundle_id", "f.path", "f.mode", "f.size", "f.digest")
+    here = m.select("bundle_id").distinct()
+    changes = inv.diff(files, built.join(here, "bundle_id", "left_semi"))
+    return row(spec, F.lit(""), F.lit("spec")).unionByName(row(stale_locks(declared.join(here, "bundle_id", "left_semi"), locked), F.col("source"), F.col("reason"))).unionByName(row(changes, F.col("path"), F.col("change")))
+
+
+def equal_locks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(bundle_id, equal): whether two locks (bundle_id, text) are the same in canonical form; false where either is missing or can't be read."""
+    one = lambda df, c: df.select("bundle_id", canonical_json("text").alias(c))
+    both = one(left, "l").join(one(right, "r"), "bundle_id", "full_outer")
+    return both.select("bundle_id", F.coalesce(F.col("l") == F.col("r"), F.lit(False)).alias("equal"))
+
+
 def envelope_findings(parsed: DataFrame, payload_type: str = "application/vnd.in-toto+json") -> DataFrame:
     """The first fault of each parsed envelope: type, base64 payload, at least one signature, and base64 in each."""
     m = _opened(parsed).withColumns({"bytes": F.try_to_binary("payload", F.lit("base64")), "n": F.coalesce(F.size("signatures"), F.lit(0))})

@@ -63,8 +63,8 @@ def diff_summary(changes: DataFrame) -> DataFrame:
 
 
 def compose(sources: DataFrame) -> DataFrame:
-    """Disjoint union of mounted sources: (bundle_id, path, source, source_path, mode, size, digest) from rows with source, mount, path."""
-    return sources.select("bundle_id", paths.mounted(F.col("mount"), F.col("path")).alias("path"), "source", F.col("path").alias("source_path"), "mode", "size", "digest")
+    """Disjoint union of mounted sources: (bundle_id, path, source, source_path, mode, size, digest) from rows with source, mount, path; paths in NFC."""
+    return sources.select("bundle_id", paths.nfc(paths.mounted(F.col("mount"), F.col("path"))).alias("path"), "source", F.col("path").alias("source_path"), "mode", "size", "digest")
 
 
 def findings(df: DataFrame, stage: str, code: str, path: Column, message: Column) -> DataFrame:
@@ -73,8 +73,18 @@ def findings(df: DataFrame, stage: str, code: str, path: Column, message: Column
 
 def duplicate_paths(composed: DataFrame) -> DataFrame:
     """Paths that more than one row claims, with the sources that do."""
-    grouped = composed.groupBy("bundle_id", "path").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
-    return findings(grouped.where("n > 1"), "compose", "duplicate-path", F.col("path"), F.col("sources"))
+    often = composed.groupBy("bundle_id", "path").agg(F.count("*").alias("n")).where("n > 1").select("bundle_id", "path")
+    claimed = composed.select("bundle_id", "path", "source").join(often, ["bundle_id", "path"]).distinct()
+    grouped = claimed.groupBy("bundle_id", "path").agg(F.array_join(F.sort_array(F.collect_list("source")), ",").alias("sources"))
+    return findings(grouped, "compose", "duplicate-path", F.col("path"), F.col("sources"))
+
+
+def limit_findings(composed: DataFrame, limits: DataFrame) -> DataFrame:
+    """Bundles with more files or bytes, and files larger, than their effective limits (bundle_id, bound, value) allow; a bundle without a limit has none."""
+    of = lambda bound: limits.where(F.col("bound") == bound).select("bundle_id", F.col("value").alias("most"))
+    sums = composed.groupBy("bundle_id").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("decimal(38,0)")).alias("total"))
+    over = lambda df, bound, column, path: findings(df.join(of(bound), "bundle_id").where(F.col(column) > F.col("most")), "limits", "limit-exceeded", path, F.lit(bound))
+    return over(sums, "maxFiles", "n", F.lit("")).unionByName(over(sums, "maxExpandedBytes", "total", F.lit(""))).unionByName(over(composed, "maxFileBytes", "size", F.col("path")))
 
 
 def file_directory_clashes(composed: DataFrame) -> DataFrame:

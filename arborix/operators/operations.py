@@ -1,4 +1,4 @@
-"""Whole operations over many bundles: build, verify, expand. All results are lazy; nothing is written here."""
+"""Whole operations over many bundles: build and verify. All results are lazy; nothing is written here."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import digests, paths
-from . import archives, documents, evaluation
+from . import archives, documents, evaluation, limits
 from . import inventory as inv
 
 
@@ -30,10 +30,16 @@ def compose_findings(composed: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [unsafe, inv.duplicate_paths(composed), inv.file_directory_clashes(composed), inv.fold_clashes(composed)])
 
 
-def build(sources: DataFrame, kinds: documents.Kinds = documents.Kinds(), domain: str = digests.TREE_DOMAIN) -> Built:
-    """Build bundles from (bundle_id, source, mount, path, mode, content)."""
+def build(sources: DataFrame, kinds: documents.Kinds = documents.Kinds(), domain: str = digests.TREE_DOMAIN, asked: DataFrame | None = None) -> Built:
+    """Build bundles from (bundle_id, source, mount, path, mode, content); asked: limits as limits.effective() takes them.
+
+    Counts and sizes are held against the effective limits of every bundle: the defaults where nothing is asked.
+    """
     placed = sources.select("bundle_id", "source", paths.nfc(paths.mounted(F.col("mount"), F.col("path"))).alias("path"), paths.normal_mode(F.col("mode")).alias("mode"), "content")
-    found = compose_findings(placed.select("bundle_id", "source", "path"))
+    none = sources.select("bundle_id").distinct().select("bundle_id", F.lit("maxFiles").alias("bound"), F.lit(0).cast("long").alias("value"), F.lit("unset").alias("origin"), F.lit(0).alias("precedence"))
+    effective = limits.effective(none if asked is None else none.unionByName(asked.select(*none.columns)))
+    sized = placed.select("bundle_id", "source", "path", F.octet_length("content").cast("long").alias("size"))
+    found = compose_findings(sized).unionByName(inv.limit_findings(sized, effective))
     files = placed.join(found.select("bundle_id").distinct(), "bundle_id", "left_anti").select("bundle_id", "path", "mode", "content")
     parts = archives.pack(files)
     configs = documents.encode_configs(archives.inventory_of(files), kinds, domain)

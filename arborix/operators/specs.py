@@ -213,3 +213,22 @@ def inspect_bundles(manifests: DataFrame, configs: DataFrame) -> DataFrame:
     m = manifests.where("code = 'ok'").select("bundle_id", F.col("doc.config.digest").alias("config_digest"), F.col("doc.layers")[0]["digest"].alias("layer_digest"), F.col("doc.layers")[0]["size"].alias("layer_size"))
     c = configs.where("code = 'ok'").select("bundle_id", F.col("doc.format").alias("format"), F.col("doc.treeDigest").alias("tree_digest"), F.col("doc.fileCount").alias("n_files"), F.col("doc.totalSize").alias("total_size"))
     return m.join(c, "bundle_id").withColumns({"kind": F.lit("bundle"), "confidence": F.lit("digest-verified")})
+
+
+def template(path: str = ".", name: str = "example", kinds: Kinds = Kinds(), kind: str = SPEC_KIND) -> str:
+    """A spec to begin with, of one directory; whatever the path holds, it stays one quoted text."""
+    quoted = json.dumps(path or ".", ensure_ascii=False)
+    return f"""apiVersion: {kinds.api_version}
+kind: {kind}
+metadata:
+  name: {name}
+spec:
+  sources:
+    - name: files
+      type: path
+      mountPath: ""
+      include: ["**"]
+      exclude: []
+      config:
+        path: {quoted}
+"""

@@ -8,15 +8,18 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digests, globs, paths
 
 POINTER = b"version https://git-lfs.github.com/spec/"  # a fixed value of the public format
+BATCH_BYTES = 16 << 20
 _LISTED = "bundle_id string, root string, path string, kind string, mode int, size long"
 
 
@@ -53,27 +56,52 @@ def listing(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     return rows.repartition(max(len(roots), 1)).mapInPandas(run, _LISTED)
 
 
-def read_directories(spark: SparkSession, roots: dict[str, str], include: list[str] | None = None, exclude: list[str] | None = None, max_file_bytes: int = 1 << 30, limits: tuple[int, int, int] = (1024, 255, 64)) -> tuple[DataFrame, DataFrame]:
+def read_directories(spark: SparkSession, roots: dict[str, str], include: list[str] | None = None, exclude: list[str] | None = None, max_file_bytes: int = 1 << 30, limits: tuple[int, int, int] = (1024, 255, 64), max_files: int = 1_000_000, max_bytes: int = 64 << 30) -> tuple[DataFrame, DataFrame]:
     """((bundle_id, path, mode, content), findings (bundle_id, path, code)) of directories.
 
     Patterns are tested before a file is read. Findings: unsafe-path and limit-exceeded of paths, unsupported-file for what is
-    no regular file, limit-exceeded for a file that is too long, not-found for an empty selection. A file with a finding isn't read.
+    no regular file, limit-exceeded for a file that is too long and for a bundle of too many files or bytes (which isn't read at
+    all), not-found for an empty selection, source-changed for a file that isn't as long as listed. A file with a finding isn't
+    among the files; findings read the files once more, to tell whether they changed.
     """
     found = listing(spark, roots).withColumns({"__name": F.concat_ws("/", "root", "path"), "path": paths.nfc("path")})
     chosen = found.where(globs.selected(F.col("path"), include, exclude))
     by_path = paths.path_code(F.col("path"), *limits)
     code = F.when(by_path != "ok", by_path).when(F.col("kind") != "file", "unsupported-file").when(F.col("size") > max_file_bytes, "limit-exceeded")
     judged = chosen.withColumn("code", code)
-
-    @F.pandas_udf("binary")
-    def content(s: pd.Series) -> pd.Series:
-        return s.map(lambda p: Path(p).read_bytes())
-
-    spread = judged.where("code is null").repartition("bundle_id", "path")
-    files = spread.select("bundle_id", "path", paths.normal_mode(F.col("mode")).alias("mode"), content("__name").alias("content"))
+    sums = judged.where("code is null").groupBy("bundle_id").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    over = sums.where((F.col("n") > max_files) | (F.col("total") > max_bytes)).select("bundle_id")
+    spread = judged.where("code is null").join(over, "bundle_id", "left_anti").repartition("bundle_id", "path")
+    read = spread.select("bundle_id", "path", paths.normal_mode(F.col("mode")).alias("mode"), F.col("__name").alias("name"), "size").mapInArrow(_contents, "bundle_id string, path string, mode int, content binary, code string")
     bundles = spark.createDataFrame([(b,) for b in roots], "bundle_id string")
     empty = bundles.join(chosen, "bundle_id", "left_anti").select("bundle_id", F.lit("").alias("path"), F.lit("not-found").alias("code"))
-    return files, judged.where("code is not null").select("bundle_id", "path", "code").unionByName(empty)
+    parts = [judged.where("code is not null").select("bundle_id", "path", "code"), empty, over.select("bundle_id", F.lit("").alias("path"), F.lit("limit-exceeded").alias("code")), read.where("code is not null").select("bundle_id", "path", "code")]
+    return read.where("code is null").drop("code"), reduce(DataFrame.unionByName, parts)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files named, read to one byte beyond the size listed, in batches of BATCH_BYTES or one file."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bundle_id", "path", "mode", "content", "code"])
+
+    held, size = [], 0
+    for names in batches:
+        for bundle, path, mode, name, listed in zip(*(c.to_pylist() for c in names.columns), strict=True):
+            try:
+                with open(name, "rb") as f:
+                    data = f.read(listed + 1)
+            except OSError:
+                data = None
+            same = data is not None and len(data) == listed
+            held.append((bundle, path, mode, data if same else None, None if same else "source-changed"))
+            size += len(data or b"")
+            if size >= BATCH_BYTES:
+                yield batch(held)
+                held, size = [], 0
+    if held:
+        yield batch(held)
 
 
 def is_pointer(content: Column) -> Column:
