@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from arborix.functions import canonical_json, digests, globs, paths
 from arborix.operators import inventory as inv
-from arborix.plans import artifacts as queries
+from arborix.plans import checks as queries
 
 INVENTORY = "bundle_id string, path string, mode int, size long, digest string"
 
