@@ -1,4 +1,4 @@
-"""Whole operations over many bundles: build and verify. All results are lazy; nothing is written here."""
+"""Whole operations over many bundles: build and verify. Results are lazy; what is written here are steps between, not results."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import digests, paths
+from ..sources.stage import written
 from . import archives, documents, evaluation, limits
 from . import inventory as inv
 
@@ -39,7 +40,8 @@ def build(sources: DataFrame, kinds: documents.Kinds = documents.Kinds(), domain
     none = sources.select("bundle_id").distinct().select("bundle_id", F.lit("maxFiles").alias("bound"), F.lit(0).cast("long").alias("value"), F.lit("unset").alias("origin"), F.lit(0).alias("precedence"))
     effective = limits.effective(none if asked is None else none.unionByName(asked.select(*none.columns)))
     sized = placed.select("bundle_id", "source", "path", F.octet_length("content").cast("long").alias("size"))
-    found = compose_findings(sized).unionByName(inv.limit_findings(sized, effective))
+    sized = written(sized, "composed")
+    found = written(compose_findings(sized).unionByName(inv.limit_findings(sized, effective)), "findings")
     files = placed.join(found.select("bundle_id").distinct(), "bundle_id", "left_anti").select("bundle_id", "path", "mode", "content")
     parts = archives.pack(files)
     configs = documents.encode_configs(archives.inventory_of(files), kinds, domain)
@@ -47,7 +49,7 @@ def build(sources: DataFrame, kinds: documents.Kinds = documents.Kinds(), domain
 
 
 def verify(parts: DataFrame, inventory: DataFrame, subjects: DataFrame, rules: evaluation.Rules, evidence: DataFrame, evaluated_at: Column, semantics: DataFrame | None = None) -> DataFrame:
-    """The report of each subject; its bundle_id says which archive is its own. An archive that isn't there is a finding of its files."""
-    faults = archives.archive_findings(archives.entries(parts), inventory)
+    """The report of each subject; its bundle_id says which archive is its own. An archive that isn't there is a finding of its files. Entries are written once read."""
+    faults = archives.archive_findings(written(archives.entries(parts), "entries"), inventory)
     own = faults.select("bundle_id").distinct().join(subjects.select("bundle_id", "subject_digest"), "bundle_id").select("subject_digest")
     return evaluation.reports(subjects, evaluation.evaluate(rules, subjects.drop("bundle_id"), evidence, evaluated_at), own, semantics)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digests
 from ..sources import layout
+from ..sources.stage import written
 from . import archives, evidence
 from . import documents as docs
 
@@ -47,27 +48,31 @@ def subject_findings(subjects: DataFrame, blobs: DataFrame, kinds: docs.Kinds =
     """(bundle_id, step, code, path, message) of everything wrong with the subjects (bundle_id, layout, digest); none: each agrees with itself.
 
     The steps are manifest, config, layer and files; one that a step before has a finding on isn't taken. Each blob is named
-    by the document before it and must hash to that name. Without payload the layer isn't read.
+    by the document before it and must hash to that name. Without payload the layer isn't read. Each step's documents are
+    written before they are checked, so that a check doesn't fetch and parse them anew.
     """
     fetched, parsed = manifests_of(subjects, blobs)
-    wrong = docs.manifest_findings(parsed, kinds)
+    parsed = written(parsed, "manifests")
+    wrong = written(docs.manifest_findings(parsed, kinds), "manifest-findings")
     sound = parsed.join(wrong.select("bundle_id"), "bundle_id", "left_anti")
-    config = _fetched(_named(sound, subjects, "config"), blobs)
+    config = written(_fetched(_named(sound, subjects, "config"), blobs), "configs")
     texts = config.where("content is not null").select("bundle_id", F.col("content").cast("string").alias("text"))
-    configs = docs.parse(texts, docs.CONFIG)
+    configs = written(docs.parse(texts, docs.CONFIG), "parsed-configs")
     read = configs.where("code = 'ok'")
     heads = read.select("bundle_id", F.col("doc.schemaVersion").alias("schema_version"), F.col("doc.format").alias("format"), F.col("doc.treeDigest").alias("tree_digest"), F.col("doc.fileCount").alias("file_count"), F.col("doc.totalSize").alias("total_size"))
     entries = docs.config_entries(read)
-    inconsistent = docs.config_findings(heads, entries, kinds, domain)
+    inconsistent = written(docs.config_findings(heads, entries, kinds, domain), "config-findings")
     unread = configs.where("code <> 'ok'").select("bundle_id", "code", F.lit("").alias("path"), F.lit("not a strict document").alias("message"))
     parts = [_blob_findings(fetched, "manifest"), _steps(wrong, "manifest"), _blob_findings(config, "config"), _steps(unread, "config"), _steps(inconsistent, "config")]
     if payload:
         good = heads.select("bundle_id").join(inconsistent.select("bundle_id").distinct(), "bundle_id", "left_anti")
-        layer = _fetched(_named(sound.join(good, "bundle_id", "left_semi"), subjects, "layer"), blobs)
+        wanted = written(_named(sound.join(good, "bundle_id", "left_semi"), subjects, "layer"), "layers-wanted")
+        layer = _fetched(wanted, blobs)
         parts.append(_blob_findings(layer, "layer"))
         packed = layer.where("content is not null").select("bundle_id", F.lit(0).alias("part"), F.col("content").alias("data"))
-        want = entries.join(packed.select("bundle_id"), "bundle_id", "left_semi")
-        parts.append(_steps(archives.archive_findings(archives.entries(packed), want), "files"))
+        read_back = written(archives.entries(packed), "entries")
+        want = entries.join(read_back.select("bundle_id").distinct(), "bundle_id", "left_semi")
+        parts.append(_steps(archives.archive_findings(read_back, want), "files"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -84,14 +89,14 @@ def candidates_of(catalog: DataFrame, blobs: DataFrame, subjects: DataFrame, mos
     found = found.join(over, ["layout", "subject"], "left_anti")
     key = F.concat_ws("|", "layout", "subject", "digest")
     wanted = found.select(key.alias("bundle_id"), "layout", "digest", F.col("size").cast("long").alias("size"), "subject", F.col("artifact_type"))
-    fetched, parsed = _fetched(wanted, blobs), None
-    parsed = docs.parse(fetched.where("content is not null").select("bundle_id", F.col("content").cast("string").alias("text")), docs.MANIFEST)
+    fetched = written(_fetched(wanted, blobs), "referrers")
+    parsed = written(docs.parse(fetched.where("content is not null").select("bundle_id", F.col("content").cast("string").alias("text")), docs.MANIFEST), "parsed-referrers")
     wrong = docs.referrer_findings(parsed)
     about = wanted.select("bundle_id", "layout", "subject", F.col("digest").alias("referrer"), "artifact_type")
     sound = parsed.join(wrong.select("bundle_id"), "bundle_id", "left_anti").join(about, "bundle_id")
     other = sound.where(F.col("doc.subject.digest") != F.col("subject"))
     own = sound.where(F.col("doc.subject.digest") == F.col("subject"))
-    layer = _fetched(own.select("bundle_id", "layout", F.col("doc.layers")[0]["digest"].alias("digest"), F.col("doc.layers")[0]["size"].alias("size")), blobs)
+    layer = written(_fetched(own.select("bundle_id", "layout", F.col("doc.layers")[0]["digest"].alias("digest"), F.col("doc.layers")[0]["size"].alias("size")), blobs), "envelopes")
     reason = lambda df, text: df.join(about, "bundle_id").select(F.col("subject").alias("subject_digest"), F.col("referrer").alias("digest"), text.alias("reason"))
     rejected = [
         reason(fetched.where("code is not null").select("bundle_id", "code"), F.col("code")),

@@ -12,6 +12,7 @@ from ..operators import evaluation as ev
 from ..operators import inventory as inv
 from ..operators import specs
 from ..sources import directory, layout
+from ..sources.stage import written
 from .queries import EVALUATED_AT, ORACLE_SQL, OTHER, POLICY, QUERIES, RULE_SQL, SUBJECT, TREE, altered_tree, document_tree, event_subjects, evidence, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -38,15 +39,16 @@ def layer_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {TREE}, {OTHER} select t.bundle_id, 'invalid-artifact' as code, t.path, 'not declared' as message from tree t where not exists (select 1 from other o where o.bundle_id = t.bundle_id and o.path = t.path) union all select t.bundle_id, 'digest-mismatch', t.path, case when t.size <> o.size then 'size differs' else 'content differs' end from tree t join other o on o.bundle_id = t.bundle_id and o.path = t.path where t.digest <> o.digest union all select o.bundle_id, 'invalid-artifact', o.path, 'declared, not delivered' from other o where not exists (select 1 from tree t where o.bundle_id = t.bundle_id and o.path = t.path)")
 def layer_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all documents held against an altered inventory."""
-    return ar.archive_findings(ar.entries(ar.pack(document_files(spark, sf_dir))), altered_tree(spark, sf_dir), max_files=1 << 40)
+    read = written(ar.entries(ar.pack(document_files(spark, sf_dir))), "entries")
+    return ar.archive_findings(read, altered_tree(spark, sf_dir), max_files=1 << 40)
 
 
 @query(f"with {TREE} select bundle_id, {digest_sql('tree')}")
 def expand_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree digest of what packing and expanding gives back."""
     files = document_files(spark, sf_dir)
-    parts, want = ar.pack(files), ar.inventory_of(files)
-    faults = ar.archive_findings(ar.entries(parts), want, max_files=1 << 40)
+    parts, want = written(ar.pack(files), "parts"), ar.inventory_of(files)
+    faults = ar.archive_findings(written(ar.entries(parts), "entries"), want, max_files=1 << 40)
     return inv.tree_digest(ar.inventory_of(ar.expand(parts, want, faults))).select("bundle_id", "tree_digest")
 
 

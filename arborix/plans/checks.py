@@ -15,6 +15,7 @@ from ..operators import documents as docs
 from ..operators import evaluation as ev
 from ..operators import inventory as inv
 from ..sources import directory, layout, resolvers
+from ..sources.stage import written
 from .artifacts import KINDS, ORACLE_SQL, QUERIES, document_files
 from .queries import EVALUATED_AT, OTHER, TREE, altered_tree, document_tree, query, table
 
@@ -254,7 +255,7 @@ def provenance_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.evaluate(RULES, evidence_subjects(e), e, F.lit(EVALUATED_AT).cast("timestamp")).select("subject_digest", "about", "code")
 
 
-@query("select k || '' as subject_digest, list_transform(list_sort(list_distinct(list(doc_id % 5))), x -> 'k' || x) as identities from (select doc_id, doc_id % 50 as k from documents where doc_id % 5 > 0) group by k")
+@query("select k || '' as subject_digest, list_transform(list_sort(list_distinct(list(doc_id % 5))), lambda x: 'k' || x) as identities from (select doc_id, doc_id % 50 as k from documents where doc_id % 5 > 0) group by k")
 def identities_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whose evidence counts for each subject; here a subject's items all have one key."""
     return ev.accepted_identities(ev.accepted(ev.Rules(), document_evidence(spark, sf_dir)))
@@ -402,6 +403,7 @@ def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     manifest = F.format_string('{"schemaVersion":2,"mediaType":"' + docs.MANIFEST_TYPE + '","artifactType":"%s","config":{"mediaType":"c","digest":"' + digests_of("") + '","size":0},"layers":[{"mediaType":"l","digest":"%s","size":%d}],"subject":{"mediaType":"m","digest":"%s","size":1}}', "kind", digests.sha256_text(F.col("envelope")), F.octet_length("envelope"), "named")
     e = e.withColumn("manifest", manifest)
     at, content = F.lit("l").alias("layout"), lambda c: F.col(c).cast("binary").alias("content")
+    e = written(e, "evidence")
     catalog = e.select(at, digests.sha256_text(F.col("manifest")).alias("digest"), F.lit("m").alias("media_type"), F.octet_length("manifest").cast("long").alias("size"), F.col("kind").alias("artifact_type"), F.lit(None).cast("string").alias("tag"), "subject", "k")
     layers = e.where("k <> 9").select(at, digests.sha256_text(F.col("envelope")).alias("digest"), F.when(F.col("k") == 2, F.lit(b"broken")).otherwise(F.col("envelope").cast("binary")).alias("content"))
     blobs = layers.unionByName(e.select(at, digests.sha256_text(F.col("manifest")).alias("digest"), content("manifest"))).dropDuplicates(["digest"])
@@ -485,6 +487,7 @@ def build_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bundles built: their trees, and that their manifests name the config and the layer that were made."""
     built = _bundles(spark, sf_dir)
+    built = built._replace(parts=written(built.parts, "parts"), configs=written(built.configs, "configs"))
     named = docs.parse(built.manifests.select("bundle_id", F.col("manifest").alias("text")), docs.MANIFEST).select("bundle_id", "doc")
     layers = ar.descriptors(built.parts).select("bundle_id", F.col("digest").alias("layer"))
     joined = built.configs.join(named, "bundle_id").join(layers, "bundle_id")
@@ -503,7 +506,7 @@ def lone_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select 'broken manifest' as what, doc_id || '' as bundle_id, 'manifest' as step, 'digest-mismatch' as code from documents where doc_id % 6 = 1 union all select 'no config', doc_id || '', 'config', 'not-found' from documents where doc_id % 6 = 2 union all select 'broken layer', doc_id || '', 'layer', 'size-mismatch' from documents where doc_id % 6 = 3 union all select 'no manifest', doc_id || '', 'manifest', 'not-found' from documents where doc_id % 6 = 4")
 def subject_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subjects fetched from a layout by digests, from manifest to files, with blobs that are broken or not there."""
-    b = lone_bundles(spark, sf_dir).withColumn("n", F.col("bundle_id").cast("long") % 6)
+    b = written(lone_bundles(spark, sf_dir), "bundles").withColumn("n", F.col("bundle_id").cast("long") % 6)
     n, at = F.col("n"), F.lit("l").alias("layout")
     blob = lambda c, broken, gone: b.where(n != gone).select(at, digests.sha256_text(F.col(c)).alias("digest"), F.when(n == broken, F.concat(F.lit(b" "), F.expr(f"substring({c}, 2)")) if c == "manifest" else F.concat(F.lit(b" "), c)).otherwise(F.col(c)).alias("content"))
     blobs = blob("manifest", 1, 4).unionByName(blob("config", -1, 2)).unionByName(blob("layer", 3, -1)).dropDuplicates(["digest"])
