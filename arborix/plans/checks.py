@@ -14,7 +14,7 @@ from ..operators import conformance, evidence, limits, operations, policies, spe
 from ..operators import documents as docs
 from ..operators import evaluation as ev
 from ..operators import inventory as inv
-from ..sources import directory, layout, resolvers
+from ..sources import directory, layout, resolvers, sinks, stage
 from ..sources.stage import written
 from .artifacts import KINDS, ORACLE_SQL, QUERIES, document_files
 from .queries import EVALUATED_AT, OTHER, TREE, altered_tree, document_tree, query, table
@@ -629,3 +629,37 @@ def long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.when(n % 3 == 0, "a").otherwise("b"), F.repeat(F.lit("é"), (60 + n % 3).cast("int")))
     files = numbered(spark, sf_dir).select("bundle_id", name.alias("path"), F.lit(420).alias("mode"), F.lit(b"x").alias("content"))
     return ar.entries(ar.pack(files)).where("kind = 'file'").select(F.col("bundle_id").cast("long").alias("doc_id"), "name")
+
+
+def _place(spark: SparkSession) -> str:
+    import uuid
+
+    return f"{stage.folder(spark)}/arborix-steps/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+@query("select 'v' || (doc_id % 20) as tag, doc_id || '' as document, 'ok' as state from documents where doc_id >= 20 and doc_id < 40 union all select null, doc_id || '', 'ok' from documents where doc_id < 40 and doc_id % 20 = 0 and doc_id < 20")
+def publish_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents published under tags, others under the same tags, and one attached to another: what the layout's readers find."""
+    root = _place(spark)
+    b = numbered(spark, sf_dir).where("doc_id < 40").withColumn("content", F.concat("bundle_id", F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary")).withColumn("digest", digests.sha256_text(F.col("content")))
+    row = b.select(F.lit(root).alias("layout"), "digest", F.lit("m").alias("media_type"), F.octet_length("content").cast("long").alias("size"), F.lit("a").alias("artifact_type"), F.concat(F.lit("v"), F.col("doc_id") % 20).alias("tag"), F.lit(None).cast("string").alias("subject"), F.col("doc_id").alias("seq"), "doc_id")
+    sinks.publish(b.where("doc_id < 20"), row.where("doc_id < 20").drop("doc_id"), root)
+    attached = row.where("doc_id = 0").withColumns({"tag": F.lit(None).cast("string"), "subject": F.lit("sha256:" + "0" * 64)}).drop("doc_id")
+    sinks.publish(b.where("doc_id >= 20 or doc_id = 0"), row.where("doc_id >= 20").drop("doc_id"), root, attached)
+    catalog, held = layout.read_catalog(spark, root), layout.read_blobs(spark, root)
+    wrong = layout.blob_faults(catalog, held).select("digest", "code")
+    named = catalog.join(held.select("digest", F.substring_index(F.col("content").cast("string"), "|", 1).alias("document")), "digest")
+    return named.join(wrong, "digest", "left").select("tag", "document", F.coalesce("code", F.lit("ok")).alias("state"))
+
+
+@query(f"with {TREE} select bundle_id, path, mode, digest from tree")
+def expand_to_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bundle packed, expanded, written as a tree of files, and read back as a directory."""
+    files = document_files(spark, sf_dir)
+    parts, want = written(ar.pack(files), "parts"), ar.inventory_of(files)
+    faults_found = written(ar.archive_findings(written(ar.entries(parts), "entries"), want, max_files=1 << 40), "findings")
+    root = _place(spark)
+    done = sinks.write_trees(ar.expand(parts, want, faults_found), root)
+    local = root.removeprefix("file://")
+    read, _ = directory.read_directories(spark, {b: f"{local}/{b}" for b, state in done.items() if state == "ok"})
+    return ar.inventory_of(read).select("bundle_id", "path", "mode", "digest")
