@@ -20,8 +20,8 @@ Windows are the same where two independent 64-bit hashes are, within a chunk as
 across chunks. A null text has no words; an empty table gives no rows. Null ids come
 before all others; rows with the same id are ordered by the hash of their text.
 Repeated rows count as copies, and so do ties: one stays. A chunk holds CHUNK_ROWS
-texts of less than LONG_BYTES; of each doubling beyond, half as many, so at most 32 MB
-or one text. Columns other than doc_id and text are not read.
+texts of less than LONG_BYTES, and LONGER times fewer of texts up to LONGER times that, so
+at most 32 MB or one text. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .common import table
 
-CELLS_PER_WINDOW, STRETCH_BITS, CHUNK_ROWS, LONG_BYTES, TASK_BYTES = 8, 22, 2048, 1 << 14, 64 << 20
+CELLS_PER_WINDOW, STRETCH_BITS, PART_BITS, CHUNK_ROWS, LONG_BYTES, LONGER, TASK_BYTES = 8, 25, 23, 2048, 1 << 14, 8, 64 << 20
 SEED_A, SEED_B = 0x51ED270B, 0x3C6EF372
 
 
@@ -271,10 +271,13 @@ def _remove(docs: pa.Table, lost: pa.Table, k: int) -> pa.Table:
 
 
 def _by_length(place: Column, rows: int = CHUNK_ROWS) -> list[Column]:
-    """What names a chunk, of texts by their place: texts of LONG_BYTES and more lie apart, by doublings of their length, so many fewer in a chunk."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    doublings = F.when(size < LONG_BYTES, 0).otherwise(F.floor(F.log2(size / LONG_BYTES)).cast("int") + 1)
-    return [doublings, F.floor(place / F.greatest(F.lit(1), F.floor(F.lit(rows) / F.pow(F.lit(2.0), doublings))))]
+    """What names a chunk, of texts by their place: texts of LONG_BYTES and more lie apart, by how often they are LONGER times that, and so many times fewer in a chunk.
+
+    Few classes, as the sketch sends a list for each chunk and stretch.
+    """
+    size, step = F.coalesce(F.octet_length("text"), F.lit(0)), LONGER.bit_length() - 1
+    times = F.when(size < LONG_BYTES, 0).otherwise(F.floor(F.log2(size / LONG_BYTES) / step).cast("int") + 1)
+    return [times, F.floor(place / F.greatest(F.lit(1), F.floor(F.lit(rows) / F.pow(F.lit(float(LONGER)), times))))]
 
 
 def file_chunks(rows: int = CHUNK_ROWS) -> Column:
@@ -290,7 +293,7 @@ def dedup_substrings(docs: DataFrame, k: int = 20, chunk: Column | None = None)
     """
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     bits = max(10, ((size.b or 0) * CELLS_PER_WINDOW // 6).bit_length())
-    parts = 1 << max(0, bits - STRETCH_BITS)
+    parts = 1 << max(0, bits - PART_BITS)
     # a third of TASK_BYTES goes by the sketch, the rest is texts: tasks stay as large while the input grows
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size.b or 0) // TASK_BYTES, 1)
     if chunk is None:
