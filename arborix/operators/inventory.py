@@ -35,12 +35,17 @@ def tree_digest_stream(inventory: DataFrame, domain: str = digests.TREE_DOMAIN)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle, state, done = None, None, []
         for batch in batches:
-            for b, n, rec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if state is None or b != bundle:
+            names, counts, recs = batch.columns
+            names = names.to_pylist()
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if state is None or names[lo] != bundle:
                     if state is not None:
                         done.append((bundle, "sha256:" + state.hexdigest()))
-                    bundle, state = b, hashlib.sha256(domain.encode() + n.to_bytes(8, "big"))
-                state.update(rec)
+                    bundle, state = names[lo], hashlib.sha256(domain.encode() + counts[lo].as_py().to_bytes(8, "big"))
+                state.update(b"".join(recs.slice(lo, hi - lo).to_pylist()))  # the records of a run at once
         if state is not None:
             done.append((bundle, "sha256:" + state.hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.string())], names=["bundle_id", "tree_digest"])
