@@ -68,11 +68,3 @@ def judged(candidates: DataFrame, signers: DataFrame, predicate_types: list[str]
     )
     out = rows.withColumns({"reason": reason, "matching": F.col("artifact_type").eqNullSafe(required_type)})
     return out.select("subject_digest", "digest", "reason", "matching", "key_ids", F.col("st.predicateType").alias("predicate_type"), F.col("st.predicate").alias("predicate"))
-
-
-def statements_of(locks: DataFrame, predicate_type: str, builder: str) -> DataFrame:
-    """(bundle_id, statement): the provenance of locks (bundle_id, subject_digest, tree_digest, format, lock_digest, sources array of structs), as JSON."""
-    predicate = F.struct("tree_digest", "format", "lock_digest", F.lit(builder).alias("builder"), "sources")
-    subject = F.array(F.struct(F.create_map(F.lit("sha256"), F.substr("subject_digest", F.lit(8))).alias("digest")))
-    doc = F.struct(F.lit(docs.STATEMENT_TYPE).alias("_type"), predicate.alias("predicate"), F.lit(predicate_type).alias("predicateType"), subject.alias("subject"))
-    return locks.select("bundle_id", F.to_json(doc).alias("statement"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from arborix.functions import references
 from arborix.operators import archives as ar
+from arborix.operators import documents as docs
 from arborix.operators import evaluation as ev
 from arborix.operators import evidence, limits, operations, validators
 from arborix.operators import inventory as inv
@@ -30,8 +31,7 @@ def test_validators_fail_alone(spark):
 
 
 def test_evidence_is_rejected_for_the_first_reason(spark):
-    lock = spark.createDataFrame([("b", S, S, "f", S, [("s", "path")])], "bundle_id string, subject_digest string, tree_digest string, format string, lock_digest string, sources array<struct<name:string,type:string>>")
-    said = evidence.statements_of(lock, "p", "me").first().statement
+    said = json.dumps({"_type": docs.STATEMENT_TYPE, "predicate": {"builder": "me"}, "predicateType": "p", "subject": [{"digest": {"sha256": "1" * 64}}]}, separators=(",", ":"))
     wrap = lambda text, sigs=1: json.dumps({"payloadType": "t", "payload": base64.b64encode(text.encode()).decode(), "signatures": [{"keyid": "", "sig": "YQ=="}] * sigs})
     rows = [("ok", "e", wrap(said)), ("type", "x", wrap(said)), ("junk", "e", "no"), ("unsigned", "e", wrap(said, 0)), ("untrusted", "e", wrap(said)), ("predicate", "e", wrap(said.replace('"p"', '"q"'))), ("bound", "e", wrap(said.replace("1" * 64, "2" * 64)))]
     c = spark.createDataFrame([(S, *r) for r in rows], "subject_digest string, digest string, artifact_type string, envelope string")

@@ -10,7 +10,7 @@ from arborix.operators import archives as ar
 from arborix.operators import conformance, operations, policies, specs
 from arborix.operators import documents as docs
 from arborix.operators import inventory as inv
-from arborix.sources import layout, resolvers, sinks, stage
+from arborix.sources import layout, resolvers, sinks, stage, transport
 
 
 def sha(data):
@@ -211,3 +211,15 @@ def test_steps_need_a_shared_folder(spark):
         stage.folder(Elsewhere)
     assert stage.written(spark.range(3), "x").count() == 3
     assert ar.inventory_of(spark.createDataFrame([], "bundle_id string, path string, mode int, content binary")).count() == 0
+
+
+def test_a_layout_is_a_transport(spark, tmp_path):
+    store = transport.LayoutTransport(spark, f"file://{tmp_path}/layout")
+    assert {r.state for r in store.push(blobs(spark, b"one", b"ev"), rows(spark, (b"one", "v1")), rows(spark, (b"ev", None), subject=sha(b"one"))).collect()} == {"written"}
+    wanted = spark.createDataFrame([("v1",), ("v2",)], "tag string")
+    assert {tuple(r) for r in store.resolve(wanted).collect()} == {("v1", sha(b"one"), "ok"), ("v2", None, "not-found")}
+    (tmp_path / "layout/blobs/sha256" / sha(b"ev")[7:]).write_bytes(b"EV")
+    asked = spark.createDataFrame([(sha(b"one"), 3), (sha(b"ev"), 2), (sha(b"x"), 1)], "digest string, size long")
+    assert {(r.digest, r.content and bytes(r.content), r.code) for r in store.fetch(asked).collect()} == {(sha(b"one"), b"one", "ok"), (sha(b"ev"), None, "digest-mismatch"), (sha(b"x"), None, "not-found")}
+    subjects = spark.createDataFrame([(sha(b"one"),)], "digest string")
+    assert [r.digest for r in store.referrers(subjects, "a").collect()] == [sha(b"ev")] and store.referrers(subjects, "b").count() == 0
