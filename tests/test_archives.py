@@ -100,3 +100,19 @@ def test_deviations_are_notes_or_errors_by_level(spark):
     assert {r.severity for r in ar.deviations(ar.entries(parts), "canonical").collect()} == {"error"}
     with pytest.raises(ValueError):
         ar.deviations(parts, "bytes")
+
+
+def test_expand_reads_an_archive_whole_after_a_late_broadcast(spark):
+    """The join that leaves out faulty bundles is planned by a sort and broadcast once its sizes are known."""
+    files = spark.createDataFrame(TREE, FILES)
+    parts = ar.pack(files, part_bytes=20).repartition(4, "part").cache()
+    faults = spark.createDataFrame([("other",)], "bundle_id string")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = ar.expand(parts, ar.inventory_of(files), faults).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert sorted((r.bundle_id, r.path, r.mode, bytes(r.content)) for r in got) == sorted(TREE)

@@ -41,6 +41,24 @@ def test_tree_digest_is_that_of_the_packed_records(spark, digest):
     assert got.tree_digest == "sha256:" + hashlib.sha256(records(domain, rows)).hexdigest()
 
 
+@pytest.fixture
+def late_broadcast(spark):
+    """Joins are planned by a sort and broadcast once their sizes are known, and partitions stay apart, as on larger tables."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "2k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def test_streamed_digest_takes_a_bundle_whole_after_a_late_broadcast(spark, late_broadcast):
+    domain, rows = some_files()
+    spread = tree(spark, rows, "b").unionByName(tree(spark, rows[:7], "c")).repartition(4, "path")
+    got = sorted((r.bundle_id, r.tree_digest) for r in inv.tree_digest_stream(spread, domain).collect())
+    assert got == [(b, "sha256:" + hashlib.sha256(records(domain, x)).hexdigest()) for b, x in (("b", rows), ("c", rows[:7]))]
+
+
 def test_diff_is_that_of_plain_dicts(spark):
     rng = random.Random(34)
     side = lambda: [(f"p{i}", rng.choice([420, 493]), rng.choice([b"x", b"y"])) for i in range(80) if rng.random() < 0.8]
