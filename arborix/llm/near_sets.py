@@ -1,13 +1,17 @@
-"""Near-duplicates by the set rule: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Candidates come from min-wise hashes: texts that agree on all ROWS minima of one
-of BANDS bands. Two texts of similarity s agree on a minimum with probability s
-whatever the kind of edit, so at 0.8 one in 300,000 pairs is missed, and fewer
-above. A band's texts are joined to the least of them, and the components of
-these stars are the candidate groups. In a group every pair is compared by its
-whole sets, save those that other links join already; groups of much text are cut
-into blocks, and each pair of blocks is a task of its own. Only pairs of the
-similarity asked for are links.
+"""SimHash near-duplicates, held to the set rule: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Each set has a SimHash fingerprint, and the trie walk of simhash.py joins those
+that differ in BUDGET bits at most; its components are candidates. At 0.8 a
+fingerprint differs in some 10 bits, further than a walk in proportion to the
+input can go, so what the budget cuts off comes from min-wise hashes: texts that
+agree on all ROWS minima of one of BANDS bands. Two texts of similarity s agree on
+a minimum with probability s whatever the kind of edit, so at 0.8 the bands miss
+one in 300,000 pairs, and fewer above; of those the walk has its share. A band's
+texts are joined to the least of them, and the components of these stars and of
+the walk are the candidate groups. In a group every pair is compared by its whole
+sets, save those that other links join already; groups of much text are cut into
+blocks, and each pair of blocks is a task of its own. Only pairs of the similarity
+asked for are links.
 
 Shingles are compared by 64-bit hash. A text of fewer words than a shingle is one
 shingle; a null text has no words, and texts without words are all alike.
@@ -25,9 +29,9 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .common import split_join, written
 from .components import components
-from .simhash import Forest
+from .simhash import Forest, with_components
 
-SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK_BYTES = 5, 0.8, 32, 5, 16 << 20
+SHINGLE, SIMILARITY, BUDGET, BANDS, ROWS, BLOCK_BYTES = 5, 0.8, 6, 32, 5, 16 << 20
 _FACTORS = np.random.default_rng(0x5E7).integers(0, 1 << 31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -63,19 +67,21 @@ def _digests(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _named_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, __k1, __k2, set (the name of the text's set), size (bytes of text) and bands."""
+    """doc_id, __k1, __k2, set (the name of the text's set), fp (the SimHash of the set), size (bytes of text) and bands."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, keys, sizes = [np.zeros(0, np.uint64)], [np.zeros((0, BANDS), np.uint64)], [np.zeros(0, np.int64)]
+            names, fps, keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros((0, BANDS), np.uint64)], [np.zeros(0, np.int64)]
             for _, _, data, offsets in tk.slices(batch.column(3)):
-                name, key = _digests(*shingle_sets(data, offsets, shingle))
-                names.append(name), keys.append(key), sizes.append(np.diff(offsets))
+                h, counts = shingle_sets(data, offsets, shingle)
+                name, key = _digests(h, counts)
+                names.append(name), fps.append(tk.majority_bits(h, counts)), keys.append(key), sizes.append(np.diff(offsets))
             flat = np.concatenate(keys).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * BANDS), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(sizes)), bands], names=["doc_id", "__k1", "__k2", "set", "size", "bands"])
+            named = [pa.array(np.concatenate(x).view(np.int64)) for x in (names, fps)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *named, pa.array(np.concatenate(sizes)), bands], names=["doc_id", "__k1", "__k2", "set", "fp", "size", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__k1", "__k2", "text").mapInArrow(compute, "doc_id long, __k1 long, __k2 long, set long, size long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__k1", "__k2", "text").mapInArrow(compute, "doc_id long, __k1 long, __k2 long, set long, fp long, size long, bands array<long>")
 
 
 def similar_pairs(h: np.ndarray, counts: np.ndarray, second: np.ndarray, both: bool, similarity: float) -> Forest:
@@ -102,16 +108,26 @@ def similar_pairs(h: np.ndarray, counts: np.ndarray, second: np.ndarray, both: b
     return forest
 
 
+def walked_stars(sets: DataFrame, budget: int) -> DataFrame:
+    """(a, b): each set joined to the least of those that links between fingerprints of the budget or less reach."""
+    reached = with_components(sets.where("set <> 0").select(F.col("set").alias("doc_id"), "fp"), budget)
+    return reached.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+
+
+def band_stars(sets: DataFrame) -> DataFrame:
+    """(a, b): each set joined to the least of those that share a band with it."""
+    keyed = sets.where("set <> 0").select("set", F.explode("bands").alias("band"))
+    hubs = keyed.groupBy("band").agg(F.min("set").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    return split_join(keyed, hubs, "band", "n", sets.count() * BANDS).where("set <> hub").select(F.col("set").alias("a"), F.col("hub").alias("b"))
+
+
 def similar_links(docs: DataFrame, sets: DataFrame, shingle: int, similarity: float, block_bytes: int) -> DataFrame:
     """(a, b): links between names of sets, which join the sets of similarity or more.
 
-    docs: __k1, __k2 and text; sets: one row for each set, with __k1 and __k2 of a text that has it, size and bands.
+    docs: __k1, __k2 and text; sets: one row for each set, with __k1 and __k2 of a text that has it, fp, size and bands.
     """
     spark = docs.sparkSession
-    keyed = sets.where("set <> 0").select("set", F.explode("bands").alias("band"))
-    hubs = keyed.groupBy("band").agg(F.min("set").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    stars = split_join(keyed, hubs, "band", "n", sets.count() * BANDS).where("set <> hub").select(F.col("set").alias("a"), F.col("hub").alias("b"))
-    found = components(stars)
+    found = components(walked_stars(sets, BUDGET).union(band_stars(sets)))
     members = found.union(found.select("root", "root").distinct()).toDF("set", "root")
     held = written(sets.select("set", "__k1", "__k2", "size").join(members, "set"), "candidates")
     blocks = held.groupBy("root").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("blocks"), F.count("*").alias("n"))
@@ -163,8 +179,8 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     named = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text", *(c.alias(n) for n, c in keys.items()))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__k1", "__k2")).alias("best")
     rows = written(_named_sets(named, shingle), "set-rows")
-    sets = written(rows.groupBy("set").agg(best, F.max("size").alias("size"), F.first("bands").alias("bands")), "sets")
-    links = similar_links(named, sets.select("set", "best.__k1", "best.__k2", "size", "bands"), shingle, similarity, block_bytes)
+    sets = written(rows.groupBy("set").agg(best, F.first("fp").alias("fp"), F.max("size").alias("size"), F.first("bands").alias("bands")), "sets")
+    links = similar_links(named, sets.select("set", "best.__k1", "best.__k2", "fp", "size", "bands"), shingle, similarity, block_bytes)
     roots = components(links).withColumnRenamed("node", "set")
     least = sets.join(roots, "set", "left").groupBy(F.coalesce("root", "set")).agg(F.min("best").alias("best"))
     # of rows with one id and text the one of least hash; they meet after each task has kept one

@@ -231,7 +231,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataF
 
     A null doc_id never is a component_id unless the component has no other; repeated rows are kept.
     """
-    fps = written(fingerprints(docs, shingle), "fp")
+    return with_components(written(fingerprints(docs, shingle), "fp"), budget)
+
+
+def with_components(fps: DataFrame, budget: int = 4) -> DataFrame:
+    """fps (doc_id, fp) and component_id, by the trie walk over its distinct fingerprints. fps is read more than once."""
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fp-nodes")
     roots = components(near_links(nodes.select("fp"), budget)).withColumnRenamed("node", "fp")
     linked = written(nodes.join(roots, "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "fp-roots")

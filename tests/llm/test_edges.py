@@ -173,6 +173,50 @@ def test_near_dedup(table):
     assert near_sets.one_of_each(table).columns == table.columns and near_sets.one_of_each(table.limit(0)).count() == 0
 
 
+def _edited(rng, n, rest):
+    """Pairs of texts: one of n words, and one that differs from it in a passage of so many words or single words."""
+    word = lambda k: ["".join(rng.choice(list("abcdefghijk"), 6)) for _ in range(k)]
+    base = word(n)
+    edits = [base + word(rest), base[: n - rest], base[:20] + word(rest) + base[20 + rest :], [w if i % 40 else word(1)[0] for i, w in enumerate(base)]]
+    return [(" ".join(base), " ".join(e)) for e in edits]
+
+
+def test_near_dedup_walks_fingerprints_of_the_sets(spark):
+    """The walk's groups are those of plain Python over xxhash, majority and differing bits."""
+    import xxhash
+
+    rng = np.random.default_rng(61)
+    texts = sorted({t for n in range(1, 21) for pair in _edited(rng, 100, n) for t in pair} | {"one two", "Three  four"})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "doc_id as __k1", "doc_id as __k2")
+    sets = near_sets._named_sets(docs, near_sets.SHINGLE).cache()
+    name = {r.doc_id: r.set for r in sets.collect()}
+    prints = {}
+    for i, t in enumerate(texts):
+        w = t.lower().split()
+        h = [xxhash.xxh64_intdigest(x, 42) for x in {" ".join(w[j : j + 5]) for j in range(max(len(w) - 4, 1))}]
+        prints[name[i]] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    root = {x: x for x in prints}
+    for a in prints:
+        for b in prints:
+            if (prints[a] ^ prints[b]).bit_count() <= near_sets.BUDGET and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = {x: lo if r == hi else r for x, r in root.items()}
+    want = sorted((x, r) for x, r in root.items() if x != r)
+    assert sorted((r.a, r.b) for r in near_sets.walked_stars(sets, near_sets.BUDGET).collect()) == want and 20 < len(want) < len(texts) // 2
+
+
+def test_near_dedup_finds_by_fingerprint_what_all_bands_miss(spark, tmp_path):
+    """Two texts of similarity 0.8 (4 of 5 shingles) that agree on no band: one of 22 million such pairs that were tried."""
+    import corpus_pipeline
+
+    words = [f"v{c}2540502" for c in "abcdefghi"]
+    rows = [(1, " ".join(words[:8])), (2, " ".join(words)), (3, " ".join(words[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_sets._named_sets(docs.selectExpr("*", "doc_id as __k1", "doc_id as __k2"), near_sets.SHINGLE)
+    assert near_sets.band_stars(sets).count() == 0
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == [1, 3]
+
+
 def test_op8(spark, table, rows):
     labels = spark.createDataFrame([(1, 1, "t", 2), (1, 0, "t", 2), (None, 1, "t", 3), (6, 1, "t", 4), (6, None, "t", 4)], "doc_id long, quality int, text string, bad int")
     got = quality_rules.labelled(table, labels)
