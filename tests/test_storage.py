@@ -2,6 +2,8 @@ import hashlib
 import json
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from arborix.operators import archives as ar
 from arborix.operators import conformance, operations, policies, specs
 from arborix.operators import documents as docs
 from arborix.operators import inventory as inv
-from arborix.sources import layout, resolvers, sinks, stage, transport
+from arborix.sources import directory, layout, resolvers, sinks, stage, transport
 
 
 def sha(data):
@@ -213,6 +215,43 @@ def test_steps_need_a_shared_folder(spark):
     assert ar.inventory_of(spark.createDataFrame([], "bundle_id string, path string, mode int, content binary")).count() == 0
 
 
+def test_long_rows_are_written_in_small_row_groups(spark):
+    """A row group, and so what its readers and a shuffle take at once, ends by bytes, after a short row too."""
+    def packed(batches):
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([os.urandom(1 << 20 if n else 1)])], names=["part", "data"])
+
+    parts = spark.range(0, 60, 1, 1).mapInArrow(packed, "part long, data binary")
+    files = [f.removeprefix("file://") for f in stage.written(parts, "long").inputFiles()]
+    meta = [pq.ParquetFile(f).metadata for f in files]
+    assert sum(m.num_rows for m in meta) == 60
+    assert max(m.row_group(i).total_byte_size for m in meta for i in range(m.num_row_groups)) < 20 << 20
+
+
+def test_a_walk_holds_no_folder_whole(tmp_path, monkeypatch):
+    (tmp_path / "d").mkdir()
+    for i in range(50):
+        (tmp_path / f"d/cafe\u0301{i}").write_bytes(b"")
+    taken, real = [], os.scandir
+
+    class Counted:
+        def __init__(self, place):
+            self.found = real(place)
+
+        def __enter__(self):
+            return (taken.append(e) or e for e in self.found)
+
+        def __exit__(self, *_):
+            self.found.close()
+
+    monkeypatch.setattr(directory.os, "scandir", Counted)
+    walk = directory._walk("b", str(tmp_path))
+    first = next(walk)
+    assert len(taken) == 2 and first[6].startswith("d/café") and first[2] != first[6]
+    assert len({first[2], *(r[2] for r in walk)}) == 50
+
+
 def test_a_layout_is_a_transport(spark, tmp_path):
     store = transport.LayoutTransport(spark, f"file://{tmp_path}/layout")
     assert {r.state for r in store.push(blobs(spark, b"one", b"ev"), rows(spark, (b"one", "v1")), rows(spark, (b"ev", None), subject=sha(b"one"))).collect()} == {"written"}
